@@ -97,7 +97,9 @@ def _paths(docs: DataFrame) -> DataFrame:
 def update(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
     """Scans the blobs of `docs` that the ledger lacks, appends them, and returns (blob, findings) of all blobs with findings."""
     seen = ledger.read().where(F.col("rule_version") == rule_version)
-    fresh = _paths(docs).select(F.col("_blob").alias("blob"), F.col("_text").alias("text")).join(seen.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # copies collapse before anything is dealt by address
+    blobs = _paths(docs).select(F.col("_blob").alias("blob"), F.col("_text").alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    fresh = blobs.join(seen.select("blob"), "blob", "left_anti")
     ledger.append(findings(fresh).select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
     return ledger.read().where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
 
