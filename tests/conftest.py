@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,6 +6,8 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [sys.path[0], os.environ.get("PYTHONPATH")]))  # for Python workers
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

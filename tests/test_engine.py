@@ -2,7 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tideline.engine import Engine, EngineConfig
@@ -13,6 +16,7 @@ from tideline.schema import PENDING, WORKER
 from tideline.sources import sinks
 
 T = datetime(2024, 5, 1)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the handlers of this file
 
 
 class Orders:
