@@ -1 +1,33 @@
-ORACLES: dict[str, str] = {}
+"""SQL oracles of the operators that SQL can express; the others are tested against plain versions in tests/llm."""
+
+from __future__ import annotations
+
+from .secrets import LEAST_VALUE, RULES
+
+
+def _secrets() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {i} AS ord, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {int(kind == 'assign')}) AS vs, string_split_regex(t, '{p}') AS gs FROM d"
+        for i, (kind, p) in enumerate((k, r.replace("'", "''")) for k, r in RULES.items())
+    )
+    total = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ({parts}),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+s AS (SELECT rid, kind, ord, {total("ms[1:i - 1]")} + {total("gs[1:i]")} AS a, length(ms[i]) AS n, length(vs[i]) AS v FROM e),
+f AS (SELECT rid, kind, ord, a, kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR) AS span FROM s WHERE kind <> 'assign' OR v >= {LEAST_VALUE}),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+ string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3) AS base, string_agg(span, ',' ORDER BY a, ord) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.rid = g.rid"""
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_DECONTAM = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+p AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(ws[i:i + n - 1], ' ') AS p FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM b WHERE len(ws) > 0) x),
+w AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS p FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) q WHERE len(ws) >= n) x),
+h AS (SELECT w.rid, w.i, w.n, p.item FROM w JOIN p ON w.p = p.p AND w.n = p.n),
+c AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM h) y GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) z GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _secrets(), "op7_decontamination": _DECONTAM}
