@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED, SHINGLE = 42, 3
+#: Keys of crowded buckets are broadcast up to so many (8 bytes each); more go by a shuffled join.
+CROWDED_KEYS = 1_000_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -71,7 +73,10 @@ def links(fps: DataFrame) -> DataFrame:
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     met = common.stored(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"), "buckets")
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
-    crowded = index.join(met.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    keys = met.where("n > 2").select("key")
+    if keys.limit(CROWDED_KEYS + 1).count() <= CROWDED_KEYS:
+        keys = F.broadcast(keys)
+    crowded = index.join(keys, "key", "left_semi").select("fp").distinct()
     signed = [(1 << i) - (1 << 64) * (i == 63) for i in range(64)]
     flips = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(x)) for x in signed])).alias("key"))
     stars = flips.groupBy("key").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
