@@ -125,3 +125,27 @@ def test_scalars_and_cursors(spark):
     for bad in ("", "x", "2024_", "no-time_x"):
         with pytest.raises(ValueError):
             sinks.decode_cursor(bad)
+
+
+def test_settle_agrees_with_the_single_transitions(engine, spark):
+    from tideline.operators import transitions as X
+
+    engine.publish(pending(spark, *[(f"e{i}", "ok", 0, 0, None) for i in range(5)]), T)
+    engine.claim("order", T)
+    events = engine.store.read("events")
+    routes = {"e0": "delete", "e1": "retry", "e2": "release", "e3": "disable", "e4": "retry"}
+    marks = events.select("id", (F.col("version") + (F.col("id") == "e4").cast("int")).alias("version"), "claimed_by").join(spark.createDataFrame(list(routes.items()), "id string, route string"), "id").withColumns({"reason": F.lit("why"), "next_run": F.lit(T + timedelta(hours=1)).cast("timestamp_ntz")})
+    marks = marks.union(marks)
+    done = X.settle(events, marks.union(marks.where("id = 'e0'").withColumn("route", F.lit("disable"))), T, "w-0")
+    stepwise = X.mark_processed(events, marks.where("route = 'delete'")).hot
+    for step, route in ((X.mark_retry, "retry"), (X.release, "release"), (X.mark_disabled, "disable")):
+        stepwise = step(stepwise, marks.where(F.col("route") == route)).hot
+    key = lambda df: sorted(map(repr, df.drop("trace_context").collect()))
+    assert key(done.hot) == key(stepwise) and [r["id"] for r in done.archive.collect()] == ["e0"]
+
+
+def test_appends_add_folders_and_compact_joins_them(engine, spark):
+    for i in range(3):
+        engine.publish(pending(spark, (f"e{i}", "ok", 0, 0, None)), T)
+    assert len(engine.store.folders()["events"]) == 3 and not engine.store.compact("events", 4)
+    assert engine.store.compact("events", 3) and len(engine.store.folders()["events"]) == 1 and set(hot(engine)) == {"e0", "e1", "e2"}

@@ -74,17 +74,13 @@ class Engine:
         try:
 
             def step(store, base):
-                hot = store.read("events", base)
-                done = X.mark_processed(hot, o.where("route = 'delete'"), now, self.config.worker if self.config.archive else None)
-                after = X.mark_retry(done.hot, o.where("route = 'retry'")).hot
-                after = X.release(after, o.where("route = 'release'")).hot
-                after = X.mark_disabled(after, o.where("route = 'disable'")).hot
+                done = X.settle(store.read("events", base), o, now, self.config.worker if self.config.archive else None)
                 seen = o.select(
                     F.lit(None).cast("long").alias("seq"), "event_type", (F.col("attempts") + 1).alias("attempt"), F.col("claimed_by").alias("worker_id"), "thread", F.lit(None).cast("string").alias("lock_key"), F.col("id").alias("dedup_key"),
                     F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started_at"), F.timestamp_micros("finished_us").cast("timestamp_ntz").alias("finished_at"), F.col("kind").alias("outcome"),
                 )
                 more = {"handled": seen} | ({"event_archive": done.archive} if done.archive is not None else {})
-                return {"events": after}, more, {r["route"]: r["count"] for r in o.groupBy("route").count().collect()}
+                return {"events": done.hot}, more, {r["route"]: r["count"] for r in o.groupBy("route").count().collect()}
 
             return self.store.transact(step)
         finally:

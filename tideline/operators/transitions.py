@@ -137,6 +137,31 @@ def mark_disabled(hot: DataFrame, marks: DataFrame) -> Change:
     return _rewrite(hot, m, ["reason"], **(_FREE | {"status": "DISABLED"}), **_bump(), last_fail_reason=F.substring("reason", 1, _MAX_REASON))
 
 
+ROUTES = ("delete", "retry", "release", "disable")
+
+
+def settle(hot: DataFrame, marks: DataFrame, now=None, worker: str | None = None) -> Change:
+    """mark_processed, mark_retry, release and mark_disabled at once, by the marks' `route`: one join with `hot`.
+
+    Of several marks for one claim the first route in ROUTES counts. Marks that no longer own their row change
+    nothing; a null owner owns nothing. `returned` has the deleted rows as they were.
+    """
+    rank = F.array_position(F.array(*map(F.lit, ROUTES)), F.col("route"))
+    one = marks.where(F.col("route").isin(*ROUTES)).groupBy("id", "version", "claimed_by").agg(F.min(F.struct(rank.alias("rank"), "route", F.substring("reason", 1, _MAX_REASON).alias("reason"), "next_run")).alias("_mark"))
+    m = one.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("claimed_by").alias("_by"), "_mark")
+    owned = (F.col("id") == F.col("_id")) & (F.col("version") == F.col("_version")) & (F.col("claimed_by") == F.col("_by")) & (F.col("status") == "PROCESSING")
+    route, marked, again = F.col("_mark.route"), F.col("_mark").isNotNull(), F.col("_mark.route").isin("retry", "release")
+    new = {
+        "status": F.when(route == "disable", "DISABLED").when(again, "PENDING").otherwise(F.col("status")),
+        "claimed_by": F.when(~marked, F.col("claimed_by")), "claimed_at": F.when(~marked, F.col("claimed_at")),
+        "version": F.when(marked, F.col("version") + 1).otherwise(F.col("version")), "attempts": F.when(route == "retry", F.col("attempts") + 1).otherwise(F.col("attempts")),
+        "run_at": F.when(again, F.col("_mark.next_run")).otherwise(F.col("run_at")), "last_fail_reason": F.when(marked, F.col("_mark.reason")).otherwise(F.col("last_fail_reason")),
+    }
+    after = _set(hot.join(m, owned, "left").where(F.coalesce(route != "delete", F.lit(True))), **new).select(*hot.columns)
+    gone = hot.join(m.where(route == "delete"), owned, "left_semi").select(*hot.columns)
+    return Change(after, gone, archived(gone, now, worker) if worker is not None else None)
+
+
 def force_reclaim(hot: DataFrame, marks: DataFrame, now) -> Change:
     return _rewrite(hot, guarded(hot, marks), **_FREE, attempts=F.col("attempts") + 1, **_bump(), run_at=_now(now), last_fail_reason="stuck: handler exceeded handlerMaxRuntime")
 
