@@ -28,6 +28,8 @@ RULES = {
 }
 BASE = ("assign", "access", "hex")
 LEAST_VALUE = 6
+#: Addresses of blobs with findings are broadcast up to so many (32 bytes each); more go by a shuffled join.
+HIT_BLOBS = 500_000
 FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType()), T.StructField("findings", FINDINGS)])
 _BLOCK = 256
@@ -117,8 +119,10 @@ def scan(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION)
 
 def redact_documents(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
     """The columns of `docs`, with findings replaced in the texts of blobs that have any; n_chars, if there, follows the text."""
-    found = common.stored(update(docs, ledger, rule_version).select(F.col("blob").alias("_blob"), F.lit(True).alias("_hit")), "hits")
-    d = _paths(docs).join(found, "_blob", "left")
+    found = common.stored(update(docs, ledger, rule_version).select(F.unhex("blob").alias("_key"), F.lit(True).alias("_hit")), "hits")
+    if found.limit(HIT_BLOBS + 1).count() <= HIT_BLOBS:  # so that no text is dealt out for a few addresses
+        found = F.broadcast(found)
+    d = _paths(docs).withColumn("_key", F.unhex("_blob")).join(found, "_key", "left")
     names = docs.columns
     d = d.withColumn("text", F.when(F.col("_hit"), redact(F.col("text"))).otherwise(F.col("text")))
     return d.select(*[F.when(F.col("_hit"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in names])
