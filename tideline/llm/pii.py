@@ -246,7 +246,7 @@ class Tagger:
         np.add.at(g["E"], ids.ravel(), dx.reshape(-1, EMBED))
         return {a: b / n for a, b in g.items()}
 
-    def fit(self, windows, epochs: int = 7, batch: int = 64, seed: int = 3):
+    def fit(self, windows, epochs: int = 7, batch: int = 32, seed: int = 3):
         import numpy as np
 
         ids, tags = np.array([a for a, _ in windows], np.int64), np.array([b for _, b in windows], np.int64)
