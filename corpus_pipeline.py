@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`. Each stage is (spark, docs, sf_dir) -> DataFrame.
 
-Quality: rejected documents go. Near duplicates: of each group the document of least doc_id stays (rows without
-doc_id are not judged). Decontamination: contaminated documents go. Secrets: findings are replaced in the texts.
+Quality: rejected documents go. Near duplicates (five-word similarity of 0.8 or more): of each group the document of least doc_id
+stays (rows without doc_id are not judged). Decontamination: contaminated documents go. Secrets: findings are replaced in the texts.
 Mixing: documents that the mix takes, range-sorted by their place in training, with what is taken of each.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import common, decontam, mixing, quality, secrets, simhash
+from tideline.llm import common, decontam, mixing, nearcopies, quality, secrets
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.stored(simhash.near_duplicates(docs), "groups")
+    groups = common.stored(nearcopies.near_copies(docs), "groups")
     gone = common.stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

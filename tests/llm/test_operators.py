@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideline.llm import common, decontam, langid, lm, mixing, pii, quality, rules, secrets, simhash, warc
+from tideline.llm import common, decontam, langid, lm, mixing, nearcopies, pii, quality, rules, secrets, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, blob string, kept int, position string"
 R = random.Random(4)
@@ -327,6 +327,39 @@ def test_links_connect_dense_and_chained_fingerprints(spark):
         assert {root.get(f, f) for f in part} == {min(part)}
 
 
+@pytest.mark.parametrize("bound", [None, 0])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, bound):
+    import corpus_pipeline as p
+
+    if bound is not None:  # all rounds of stars before the rest is expanded
+        monkeypatch.setattr(nearcopies, "PAIRS_ROW", bound)
+        monkeypatch.setattr(nearcopies, "PAIRS_LEAST", bound)
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for i in range(12):  # copies of 100 to 300 words with up to six words changed, some beyond 0.8, and chains
+        w = words(r.randint(100, 300))
+        texts.append(" ".join(w))
+        for _ in range(4):
+            v = list(w)
+            for _ in range(r.randint(1, 6)):
+                v[r.randrange(len(v))] = "new"
+            texts.append(" ".join(v))
+            w = v if i % 2 else w
+    texts += [texts[0].upper(), None, "", "two words", "Two  words", *(" ".join(words(50)) for _ in range(20))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (ws(low(t)) for t in texts)]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            low_, high = sorted((root[a], root[b]))
+            root = [low_ if x == high else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    if bound is None:
+        assert {x["doc_id"] for x in p.drop_near_duplicates(spark, docs, "").collect()} == set(root)
+    else:
+        assert sorted(map(tuple, nearcopies.near_copies(docs).collect())) == list(enumerate(root))
+
+
 def test_quality_classifier(spark, docs, empty):
     clean = lambda: " ".join(R.choice(["alpha", "beta", "gamma", "delta", "zeta"]) for _ in range(60))
     made = [(i, clean() + (" foulword" if i % 5 == 0 else "")) if i % 7 else (i, "### $$$ %%% " * 30) for i in range(400)]

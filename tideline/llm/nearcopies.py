@@ -1,0 +1,163 @@
+"""Near copies: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+MinHash bands give the candidates: `BANDS` keys of `BAND_ROWS` minima, so a pair of similarity s shares
+a key with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. Every candidate pair that could join two groups is
+verified on its whole shingle sets; no bucket is capped. A pair of one group already says nothing new, so each bucket is first
+verified against one member (a star), and again with other members while very many pairs are left between
+different groups; then all pairs that are left are expanded. Texts of equal words are collapsed before all this.
+"""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+SEED, SHINGLE, BANDS, BAND_ROWS = 42, 5, 24, 6
+#: Rounds of stars at most, and the pairs (for each row of the buckets, and at least) from which another round comes first.
+STARS, PAIRS_ROW, PAIRS_LEAST = 4, 2, 1_000_000
+#: Keys that are broadcast, at most (8 bytes each); more go by a shuffled join, with the same rows.
+KEYS = 1_000_000
+_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def words_key(text: Column) -> Column:
+    """A long that texts of equal words share (ASCII case and kinds of space aside); null text has none, like empty text."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.trim(F.regexp_replace(low, "[ \\t-\\r]+", " ")))
+
+
+def shingles(text: bytes | None) -> set[bytes]:
+    """Hashes of the distinct shingles; a text of fewer words is one shingle, an empty one has none."""
+    import xxhash
+
+    words = (text or b"").translate(_UPPER).split()
+    joined, starts, at = b" ".join(words), [0], 0
+    for w in words:
+        at += len(w) + 1
+        starts.append(at)
+    digest = xxhash.xxh64_digest
+    if len(words) <= SHINGLE:
+        return {digest(joined, SEED)} if words else set()
+    return {digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])}
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    """Jaccard similarity of 0.8 or more, in integers."""
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+@cache
+def _factors():
+    import numpy as np
+
+    r = np.random.default_rng(SEED)
+    a, b = (r.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None] for _ in "ab")
+    return a | np.uint64(1), b
+
+
+def bands(found: set[bytes]) -> list[int]:
+    """The band keys as signed longs; none for an empty set."""
+    import numpy as np
+    import xxhash
+
+    if not found:
+        return []
+    odd, mask = _factors()
+    h = np.frombuffer(b"".join(found), np.uint64)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 512):
+        np.minimum(least, ((h[at : at + 512] ^ mask) * odd).min(1), out=least)
+    raw = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return [x - (1 << 64) if x >> 63 else x for x in raw]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, size, bands) of every row; size is the number of distinct shingles."""
+    common.tune(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for cols, texts in common.slices(batches):
+            sets = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols["doc_id"], pa.int64()), pa.array(cols["fp"], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "fp", "size", "bands"],
+            )
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(F.col("text")).alias("fp"), "text")
+    return given.mapInArrow(run, "doc_id long, fp long, size long, bands array<long>")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar, by their whole shingle sets."""
+    need = common.stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "need")
+    held = docs.select(words_key(F.col("text")).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).join(_few(need), "fp", "left_semi")
+    texts = common.stored(held.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, kept = None, set()
+        for cols, texts in common.slices(batches):
+            yes = []
+            for t, o, b in zip(texts, cols["other"], cols["b"]):
+                if b != last:  # rows of one b mostly stand together
+                    last, kept = b, shingles(o.encode())
+                yes.append(similar(shingles(t), kept))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(cols[k], yes) if y], pa.int64()) for k in "ab"], ["a", "b"])
+
+    return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+
+
+def links(each: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) that connect all candidates of `each` (fp, size, bands) that are similar."""
+    index = each.select("fp", "size", F.explode("bands").alias("key"))
+    met = common.stored(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met")
+    members = common.stored(index.join(_few(met), "key", "left_semi"), "members")
+    bound = max(PAIRS_LEAST, PAIRS_ROW * members.count())
+    alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)  # else the sizes alone rule 0.8 out
+    found = seen = None
+    now = members.withColumn("label", F.col("fp"))
+    for turn in range(STARS):
+        order = F.col("fp") if turn == 0 else F.xxhash64("fp", F.lit(turn))
+        tops = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other"))).alias("x")).select("key", "x.b", "x.top", "x.other")
+        star = now.join(tops, "key").where((F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
+        pairs = star.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b")).distinct()
+        pairs = common.stored(pairs.join(seen, ["a", "b"], "left_anti") if seen else pairs, "stars")
+        good = common.stored(verified(pairs, docs), "similar")
+        seen, found = seen.union(pairs) if seen else pairs, found.union(good) if found else good
+        roots = common.stored(common.components(found), "roots").withColumnRenamed("node", "fp")
+        now = common.stored(members.join(roots, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("label")), "labelled")
+        shares = now.groupBy("key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
+        left = shares.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if left <= bound:
+            break
+    if not left:
+        return found
+    open_ = now.join(_few(common.stored(shares.select("key"), "open")), "key", "left_semi")
+    other = open_.select("key", F.col("fp").alias("b"), F.col("size").alias("other"), F.col("label").alias("top"))
+    rest = open_.join(other, "key").where((F.col("fp") > F.col("b")) & (F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
+    rest = common.stored(rest.select(F.col("fp").alias("a"), "b").distinct().join(seen, ["a", "b"], "left_anti"), "rest")
+    return found.union(common.stored(verified(rest, docs), "similar"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """One row for each row of `docs`: doc_id and component_id, the least doc_id of its group (itself included; null if all lack one)."""
+    rows = common.stored(signatures(docs), "signatures")
+    each = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    roots = common.stored(common.components(links(each, docs)), "roots").withColumnRenamed("node", "fp")
+    tops = roots.join(each.select("fp", "least"), "fp").groupBy("root").agg(F.min("least").alias("top"))
+    linked = roots.join(tops, "root").select("fp", "top")
+    label = common.stored(each.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")), "labels")
+    return rows.select("doc_id", "fp").join(label, "fp").select("doc_id", "component_id")
