@@ -97,6 +97,21 @@ def test_many_secrets_in_a_text_and_redaction(spark):
     assert out["text"] == "[REDACTED] é " * 1500 and out["n_chars"] == len(out["text"])
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join("".join(R.choice("ABCxyz019+/") for _ in range(64)) for _ in range(20)) + "\nAbC9=="
+    key = lambda kind, head="", end=True: f"-----BEGIN {kind}-----\n{head}{body}\n" + (f"-----END {kind}-----" if end else "")
+    keys = [key("RSA PRIVATE KEY"), key("PGP PRIVATE KEY BLOCK", "Version: GnuPG v1 (a-b)\n\n"), key("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789abcdef0123456789abcdef\n\n"), key("PRIVATE KEY").replace("\n", "\\n")]
+    keys += [key("PRIVATE KEY", end=False), key("PRIVATE KEY", "Version: 1\n\n", False), "-----BEGIN PRIVATE KEY-----", f"-----BEGIN PRIVATE KEY-----\n{(body[:64] + chr(10)) * 3000}-----END PRIVATE KEY-----"]
+    texts = [f"before {k} after these words\n" if k.endswith("-----") else f"before {k}after these words\n" for k in keys]
+    texts += [f"secret: {keys[0]} after these words\n", "-----BEGIN PRIVATE KEY----- prose of some length\n" + keys[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_documents(df, secrets.BlobLedger(spark)).collect()}
+    assert not any(x in t for t in out.values() for x in (body[:64], body[70:120], "AbC9", "-----BEGIN", "DEK-Info"))
+    assert all(t.startswith("before [REDACTED]") and t.split()[-3:] == ["after", "these", "words"] for i, t in out.items() if i < 8) and out[9].startswith("[REDACTED] prose of some length\n[REDACTED]")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(df, secrets.BlobLedger(spark))).collect()}
+    assert all(f"pem:7:{7 + len(k)}" in spans[i].split(",") for i, k in enumerate(keys) if k.endswith("-----"))
+
+
 def test_language(spark, docs, empty):
     made = [(i, " ".join(R.choice(["the", "and", "with", "this", "over"] if i % 2 else ["der", "und", "nicht", "über", "schön"]) for _ in range(R.randint(3, 40))), "en" if i % 2 else "de") for i in range(300)]
     got = langid.language_id(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()

@@ -15,7 +15,16 @@ from pyspark.sql import types as T
 
 from . import common
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
+# A private key from its BEGIN line to its END line, whatever stands between except another line of dashes; without an END
+# line, header lines and the base64 lines that follow (each begins with a long run; a short last line only after one). All repeats
+# are of one character or bounded, so that the matcher doesn't recurse, however long the text.
+_RUN = "[A-Za-z0-9+/=]{16}"
+_PEM = (
+    "-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\\s\\S])*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+    "|(?:\\s{1,4}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\\n]*+){0,9}"
+    f"(?:(?!\\s{{1,40}}+(?!{_RUN}))[A-Za-z0-9+/=\\s])*+(?:(?<={_RUN})\\r?\\n[A-Za-z0-9+/=]{{1,64}}+(?=\\r?\\n|$))?)"
+)
 # The base patterns, in their order, then those that the method adds. Runs that are
 # too short can't hold a longer run, so their least length is in the pattern; for assign it is
 # tested after the match, as a short value still uses up its text.
@@ -23,7 +32,7 @@ RULES = {
     "assign": "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
     "access": "AKIA[A-Z0-9]{16,}",
     "hex": "[0-9a-f]{24,}",
-    "pem": "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "pem": _PEM,
     "jwt": "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
 }
 BASE = ("assign", "access", "hex")
@@ -138,12 +147,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with all findings of all rules replaced, rule after rule."""
+    """The text with all findings of all rules replaced, rule after rule; whole keys first, else another rule's mark could break a key's frame."""
     def one(text: Column, kind: str) -> Column:
         found, values, gaps = _matches(text, kind)
         after = lambda i: F.when(i >= F.size(found), F.lit("")).when(_good(kind, F.get(found, i), F.get(values, i)), F.lit(mark)).otherwise(F.get(found, i))
         return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, after(i))), ""))
 
-    for kind in RULES:
+    for kind in sorted(RULES, key=lambda k: k != "pem"):
         text = one(text, kind)
     return text
