@@ -136,6 +136,13 @@ def test_rules(docs, empty):
     assert got.where("base_failed and kept").count() == 0 and rules.judge(empty).count() == 0
 
 
+def test_rules_keep_a_reference_for_every_language(spark):
+    own = lambda i: " ".join(("DER" if i % 2 else "x9") for _ in range(120))
+    made = spark.createDataFrame([(i, own(i), f"l{i:04d}") for i in range(1100)], "doc_id long, text string, lang string")
+    got = rules.judge(made).collect()
+    assert len(got) == 1100 and all(r["class_distance"] < 1e-6 and r["common_distance"] < 1e-6 for r in got)
+
+
 def test_jensen_shannon(spark):
     d = lambda a, b: spark.range(1).select(rules.distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))).first()[0]
     assert d([1, 2], [2, 4]) < 1e-6 and abs(d([1, 0], [0, 3]) - 1) < 1e-9 and d([0, 0], [1, 1]) is None

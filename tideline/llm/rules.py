@@ -27,8 +27,6 @@ CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "space":
 SYMBOLS = "[^#*$%&|<>]+"
 #: The least words for each histogram, and the greatest distances (0 to 1) kept.
 LEAST_CLASS, LEAST_COMMON, FAR_CLASS, FAR_COMMON = 50, 100, 0.25, 0.40
-#: References are broadcast: some hundred bytes each, and so many at most; further languages use the reference of all.
-MAX_LANGS = 1000
 _COUNTERS = [chr(0x100 + i) for i in range(len(COMMON))]
 
 
@@ -83,7 +81,7 @@ def references(each: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_common) from all rows; lang null is the reference of all rows."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).cast("array<long>").alias(f"ref_{name}")
     cols = [sums("classes", len(CLASSES) + 1), sums("common", len(COMMON) + 1)]
-    return each.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *cols).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).drop("n").unionByName(each.agg(*cols).withColumn("lang", F.lit(None).cast("string")))
+    return each.where("lang is not null").groupBy("lang").agg(*cols).unionByName(each.agg(*cols).withColumn("lang", F.lit(None).cast("string")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -94,7 +92,8 @@ def judge(docs: DataFrame) -> DataFrame:
     each = common.stored(counts(docs), "counts")
     refs = common.stored(references(each), "references")
     every = refs.where("lang is null").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
-    known = each.join(F.broadcast(refs.where("lang is not null")), "lang", "left").join(F.broadcast(every))  # one row joins all: the reference of all rows
+    # not broadcast by hint: the number of languages has no bound; few are broadcast by their size
+    known = each.join(refs.where("lang is not null"), "lang", "left").join(F.broadcast(every))  # one row joins all: the reference of all rows
     near = known.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.col("n_words") >= LEAST_CLASS, distance(F.col("classes"), F.coalesce("ref_classes", "all_classes"))).alias("class_distance"),
