@@ -211,6 +211,15 @@ def test_pii(docs, empty):
         assert [f"{k}:{a}:{b}" for k, a, b in pii.exact(t)] == base_pii(t)
 
 
+def test_emails_without_digits_are_read(spark):
+    mails = ["jane.doe (at) mail.example.org", "jane.doe[at]post.example[dot]com", "mara (at) example (dot) net", "tom_field(at)mail.example.org"]
+    texts = [f"{'plain words of a text without numbers ' * k}please write to {m} for more of it" for m in mails for k in (0, 1, 20)]
+    df = spark.createDataFrame([*enumerate(texts), (99, "we meet (at) noon and leave [at] dusk, no more")], "doc_id long, text string")
+    got = {r["doc_id"]: r["added"] for r in pii.find(df, pii.Tagger().fit(pii.made_windows())).collect()}
+    want = {i: f"email:{t.index(m)}:{t.index(m) + len(m)}" for i, (t, m) in enumerate((t, m) for t in texts for m in mails if m in t)}
+    assert sum(got[i] == w for i, w in want.items()) >= 10 and got[99] == ""
+
+
 def test_tagger_gradient_and_accuracy():
     import numpy as np
 

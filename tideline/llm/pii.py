@@ -1,8 +1,8 @@
 """Personal data: exact patterns beside a character-level bidirectional LSTM with CRF transitions.
 
 The network is written and trained in numpy. It reads windows of `WIDTH` characters that overlap
-by half, taken around every digit or at-sign: a window with neither can't hold any kind of personal data named
-here, and all others are read, whatever the text's length. Each window is decoded by
+by half, taken around every digit, at-sign or spelled at-sign ('(at)', '[at]'): every kind of personal data named here
+holds one of these in any spelling that `_plausible` takes, so all windows that count are read, whatever the text's length. Each window is decoded by
 Viterbi; for a character that two windows cover, the tag of the one in which it lies further from
 the edge counts. Spans are then read off the whole text's tags. A span of the network is added
 if it overlaps no exact span and holds what its kind needs (`_plausible`).
@@ -119,15 +119,18 @@ def made_windows(n: int = MADE, seed: int = 11):
     def one():
         kind = r.choice([*KINDS, "", ""])
         if kind == "email":
-            at, dot = r.choice([("@", "."), ("@", "."), (" (at) ", "."), ("[at]", "[dot]")])
-            return kind, f"{word().encode('ascii', 'ignore').decode() or 'x'}{r.choice(['.', '_', ''])}{digits(2)}{at}{r.choice(['mail', 'post'])}{digits(1)}.example{dot}{r.choice(['com', 'org', 'net'])}"
+            at, dot = r.choice([("@", "."), ("@", "."), (" (at) ", "."), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+            name = lambda: word().encode("ascii", "ignore").decode() or "x"
+            if r.random() < 0.5:  # no digit anywhere
+                return kind, f"{name()}{r.choice(['.', '_', ''])}{name()}{at}{r.choice(['mail.', 'post.', ''])}{r.choice(['example', name()])}{dot}{r.choice(['com', 'org', 'net'])}"
+            return kind, f"{name()}{r.choice(['.', '_', ''])}{digits(2)}{at}{r.choice(['mail', 'post'])}{digits(1)}.example{dot}{r.choice(['com', 'org', 'net'])}"
         if kind == "ip":
             return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
         if kind == "card":
             return kind, card()
         if kind == "phone":
             return kind, r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randint(30, 49)} {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
-        return kind, r.choice([digits(r.randint(1, 8)), "".join(r.choice("0123456789abcdef") for _ in range(32)), f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}", "@" + word(), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}"])
+        return kind, r.choice([digits(r.randint(1, 8)), "".join(r.choice("0123456789abcdef") for _ in range(32)), f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}", "@" + word(), f"{word()} {r.choice(['(at)', '[at]'])} {word()}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}"])
 
     out = []
     for _ in range(n):
@@ -281,7 +284,8 @@ def tag(texts: list[str], tagger: Tagger, block: int = 512) -> list[list[tuple[s
 
     ids, jobs = [symbols(t) for t in texts], []
     for i, s in enumerate(ids):
-        anchors = np.flatnonzero(((s >= 16) & (s <= 25)) | (s == 32))  # digits and @
+        spelled = [m.start() for m in _SPELLED.finditer(texts[i])]
+        anchors = np.concatenate((np.flatnonzero(((s >= 16) & (s <= 25)) | (s == 32)), np.array(spelled, np.int64)))  # digits and @
         jobs += [(i, a) for a in windows_of(len(s), np.unique(anchors // (WIDTH // 2)) * (WIDTH // 2))]
     tags = [np.zeros(len(s), np.int8) for s in ids]
     depth = [np.full(len(s), -1, np.int16) for s in ids]
@@ -348,7 +352,8 @@ def labelled_windows(docs: DataFrame, limit: int = FIT_WINDOWS) -> list[tuple]:
     return out
 
 
-_ANCHOR = re.compile(rb"[0-9@]")
+_ANCHOR = re.compile(rb"[0-9@]|\(at\)|\[at\]")
+_SPELLED = re.compile(r"\(at\)|\[at\]")
 
 
 def train(docs: DataFrame) -> Tagger:
