@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideline.llm import common, decontam, langid, lm, mixing, nearcopies, pii, quality, rules, secrets, simhash, warc
+from tideline.llm import common, decontam, langid, lm, mixing, pii, quality, rules, secrets, similar, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, blob string, kept int, position string"
 R = random.Random(4)
@@ -363,8 +363,8 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, bound):
     import corpus_pipeline as p
 
     if bound is not None:  # all rounds of stars before the rest is expanded
-        monkeypatch.setattr(nearcopies, "PAIRS_ROW", bound)
-        monkeypatch.setattr(nearcopies, "PAIRS_LEAST", bound)
+        monkeypatch.setattr(similar, "PAIRS_ROW", bound)
+        monkeypatch.setattr(similar, "PAIRS_LEAST", bound)
     r = random.Random(8)
     words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
     texts = []
@@ -388,7 +388,7 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, bound):
     if bound is None:
         assert {x["doc_id"] for x in p.drop_near_duplicates(spark, docs, "").collect()} == set(root)
     else:
-        assert sorted(map(tuple, nearcopies.near_copies(docs).collect())) == list(enumerate(root))
+        assert sorted(map(tuple, similar.near_copies(docs).select("doc_id", "component_id").collect())) == list(enumerate(root))
 
 
 def test_quality_classifier(spark, docs, empty):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,9 +33,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local master (tests) gets one of its own; a cluster raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,7 +52,35 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the folders that `stored` wrote for frames that nothing will read again."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it as long as `columns` has it in any case: a column that clashes with none."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two longs that equal rows share, over all columns but maps (which have no hash): 128 bits tell rows apart."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(i), *cols) for i in (1, 2)]
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -118,25 +149,28 @@ def gathered(batches, budget: int, text: str = "text") -> Iterator[tuple[dict, l
         yield held, texts
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the least node.
 
     edges: (a, b) of a sortable type. Each round is two aggregations and two joins on the
     distributed edges, written to the shared folder; the driver sees only a count and a
     checksum. The joins are plain shuffled joins, so a node with very many neighbours is
-    split by adaptive execution. Raises if `max_rounds` did not suffice.
+    split by adaptive execution. Ends when a round changes nothing; the folder of the round before goes.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
-        if mark == seen or mark["n"] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct() if mark["n"] else now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        rows = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if not mark["n"]:
+            return rows
+        if mark == seen:
+            return rows.union(now.select("b", "b")).distinct()
         seen = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        now = stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, now = now, stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).distinct(), "edges")
+        forget(before)

@@ -191,13 +191,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """One row for each row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans, the merged [first word, end) of hits.
 
     Null or empty texts have no words. Repeated rows stay; an empty benchmark hits nothing.
-    Items with the same id count once. Other columns are ignored, unless `keep` names the columns to return (text among them) in place of doc_id.
+    Items with the same id count once. Other columns are ignored, unless `keep` names the columns to return (text among them) in place of doc_id;
+    a new column whose name one of these has gets an underscore before it (`common.fresh`).
     """
     spark = docs.sparkSession
     common.tune(spark)
     sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)]
 
-    given, schema, kept = common.carried(docs, keep, [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"), ("spans", "string")])
+    new = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "string"}
+    given, schema, kept = common.carried(docs, keep, [(common.fresh(n, keep or []), t) for n, t in new.items()])
 
     def run(batches):
         import hashlib

@@ -43,11 +43,14 @@ def _bins(measures) -> list[int]:
     return [BUCKETS + i * BINS + min(BINS - 1, int(m * BINS)) for i, m in enumerate(measures)]
 
 
-def votes(n: int, measures, listed: bool) -> list[int]:
-    """1 bad, 0 good, -1 nothing; in the order of the module's text, without the annotators."""
-    symbols, capitals, repeats, bars, copies = measures
-    plain = symbols < 0.1 and capitals < 0.3 and repeats < 0.1 and bars < 0.05
-    return [1 if n == 0 else -1, 1 if symbols > 0.4 else 0, 1 if capitals > 0.5 else 0, 1 if repeats > 0.3 else 0, 1 if bars > 0.15 else 0, 0 if plain else -1, 1 if listed else -1]
+def votes(n, measures, listed):
+    """A matrix of votes, 1 bad, 0 good, -1 nothing; columns in the order of the module's text, without the annotators."""
+    import numpy as np
+
+    symbols, capitals, repeats, bars, _ = measures.T
+    plain = (symbols < 0.1) & (capitals < 0.3) & (repeats < 0.1) & (bars < 0.05)
+    cols = [np.where(n == 0, 1, -1), symbols > 0.4, capitals > 0.5, repeats > 0.3, bars > 0.15, np.where(plain, 0, -1), np.where(listed, 1, -1)]
+    return np.stack([c.astype(np.int8) for c in cols], 1)
 
 
 def weak_labels(v, rounds: int = 50):
@@ -71,37 +74,38 @@ def weak_labels(v, rounds: int = 50):
     return post, hit, ok
 
 
-def word_list(buckets: list[list[int]], toxic, least: int = 4):
-    """Buckets that stand in toxic rows again and again and hardly in others."""
+def word_list(buckets, owner, toxic, least: int = 4):
+    """Whether each bucket stands in toxic rows again and again and hardly in others."""
     import numpy as np
 
-    dirty, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, t in zip(buckets, toxic):
-        (dirty if t else clean)[b] += 1
-    if not sum(map(bool, toxic)):
-        return set()
-    return set(np.flatnonzero((dirty >= least) & (dirty >= 9 * clean)).tolist())
+    dirty, clean = (np.bincount(buckets[toxic[owner] == t], minlength=BUCKETS) for t in (True, False))
+    return (dirty >= least) & (dirty >= 9 * clean)
 
 
-def fit(rows: list[tuple]):
-    """rows: (n, measures, buckets, quality, toxic), labels None where unknown. Weights and bias of the scorer: log-odds of bad."""
+def fit(n, measures, buckets, lengths, quality, toxic):
+    """Weights and bias of the scorer (log-odds of bad), and the labellers' accuracies.
+
+    A row each of n, measures and labels (-1 where unknown); the rows' buckets stand one after the other, `lengths` of each.
+    """
     import numpy as np
 
-    listed = word_list([r[2] for r in rows], [r[4] == 1 for r in rows])
-    v = np.array([[*votes(r[0], r[1], bool(listed.intersection(r[2]))), -1 if r[3] is None and r[4] is None else int(r[3] == 0 or r[4] == 1)] for r in rows], np.int64).reshape(len(rows), 8)
-    post, hit, ok = weak_labels(v)
+    rows = len(n)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    words = word_list(buckets, owner, toxic == 1)
+    listed = np.bincount(owner, words[buckets], rows) > 0
+    annotated = np.where((quality < 0) & (toxic < 0), -1, ((quality == 0) | (toxic == 1)).astype(np.int8))
+    post, hit, ok = weak_labels(np.concatenate((votes(n, measures, listed), annotated[:, None]), 1))
     weights, bias = np.zeros(BUCKETS + BINS * MEASURES), -2.0
-    if len(rows):
-        cols = np.concatenate([np.array([*r[2], *_bins(r[1])], np.int64) for r in rows])
-        lens = np.array([len(r[2]) + MEASURES for r in rows])
-        starts, owner = np.cumsum(lens) - lens, np.repeat(np.arange(len(rows)), lens)
-        df = np.bincount(cols, minlength=len(weights))
-        live = df[cols] >= 3
+    if rows:
+        bins = BUCKETS + np.arange(MEASURES) * BINS + np.minimum(BINS - 1, (measures * BINS).astype(np.int64))
+        cols = np.concatenate((buckets.astype(np.int32), bins.ravel().astype(np.int32)))
+        owner = np.concatenate((owner, np.repeat(np.arange(rows, dtype=np.int32), MEASURES)))
+        live = np.bincount(cols, minlength=len(weights))[cols] >= 3
         cols, owner = cols[live], owner[live]
         m, s = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
         for t in range(1, 201):
-            z = np.bincount(owner, weights[cols], len(rows)) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) / len(rows)
+            z = np.bincount(owner, weights[cols], rows) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) / rows
             grad = np.append(np.bincount(cols, g[owner], len(weights)), g.sum())
             m += 0.1 * (grad - m)
             s += 0.001 * (grad * grad - s)
@@ -113,7 +117,12 @@ def fit(rows: list[tuple]):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """Fits on labelled rows; an empty or unlabelled table gives the starting scorer, which keeps all but what votes alone reject."""
+    """Fits on labelled rows; an empty or unlabelled table gives the starting scorer, which keeps all but what votes alone reject.
+
+    Of several texts of one id the least by its features counts, so at most `rows` rows reach the driver, packed as Arrow columns.
+    """
+    import numpy as np
+
     spark = docs.sparkSession
     common.tune(spark)
     one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
@@ -130,8 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, n long, measures array<double>, buckets array<int>, quality int, toxic int")  # at most FIT_ROWS small rows
-    return fit([(r["n"], r["measures"], r["buckets"], r["quality"], r["toxic"]) for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["n"], r["buckets"]))])
+    each = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, n long, measures array<double>, buckets array<int>, quality int, toxic int")  # at most FIT_ROWS small rows
+    got = each.groupBy("doc_id").agg(F.min(F.struct("n", "measures", "buckets", "quality", "toxic")).alias("x")).select("doc_id", "x.*").toArrow().combine_chunks().sort_by("doc_id")
+    lists = got["buckets"].combine_chunks()
+    return fit(
+        got["n"].to_numpy(), got["measures"].combine_chunks().flatten().to_numpy().reshape(-1, MEASURES), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()),
+        *(got[k].fill_null(-1).to_numpy() for k in ("quality", "toxic")),
+    )
 
 
 def classify(docs: DataFrame, model, keep: list[str] | None = None, names: tuple[str, str] = ("score", "kept")) -> DataFrame:

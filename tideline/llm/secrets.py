@@ -37,8 +37,6 @@ RULES = {
 }
 BASE = ("assign", "access", "hex")
 LEAST_VALUE = 6
-#: Addresses of blobs with findings are broadcast up to so many (32 bytes each); more go by a shuffled join.
-HIT_BLOBS = 500_000
 FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType()), T.StructField("findings", FINDINGS)])
 _BLOCK = 256
@@ -101,16 +99,21 @@ class BlobLedger:
         rows.write.mode("append").parquet(self.path)
 
 
-def _paths(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_blob", F.sha2(F.col("_text").cast("binary"), 256))
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _address() -> Column:
+    return F.sha2(_text().cast("binary"), 256)
 
 
 def update(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
     """Scans the blobs of `docs` that the ledger lacks, appends them, and returns (blob, findings) of all blobs with findings."""
     seen = ledger.read().where(F.col("rule_version") == rule_version)
-    # copies collapse before anything is dealt by address
-    blobs = _paths(docs).select(F.col("_blob").alias("blob"), F.col("_text").alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = blobs.join(seen.select("blob"), "blob", "left_anti")
+    # copies collapse before anything is dealt by address; the condition on `copies` keeps the anti-join above that
+    blobs = docs.select(_address().alias("blob"), _text().alias("text")).groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    known = seen.select(F.col("blob").alias("known"))
+    fresh = blobs.join(known, (F.col("blob") == F.col("known")) & (F.col("copies") > 0), "left_anti").drop("copies")
     ledger.append(findings(fresh).select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
     return ledger.read().where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
 
@@ -123,18 +126,16 @@ def scan(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION)
     """
     found = update(docs, ledger, rule_version)
     # only blobs with findings go to the join; a blob that very many paths share is split by adaptive execution
-    return _paths(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_blob").alias("blob")).join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _address().alias("blob")).join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def redact_documents(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
     """The columns of `docs`, with findings replaced in the texts of blobs that have any; n_chars, if there, follows the text."""
-    found = common.stored(update(docs, ledger, rule_version).select(F.unhex("blob").alias("_key"), F.lit(True).alias("_hit")), "hits")
-    if found.limit(HIT_BLOBS + 1).count() <= HIT_BLOBS:  # so that no text is dealt out for a few addresses
-        found = F.broadcast(found)
-    d = _paths(docs).withColumn("_key", F.unhex("_blob")).join(found, "_key", "left")
-    names = docs.columns
-    d = d.withColumn("text", F.when(F.col("_hit"), redact(F.col("text"))).otherwise(F.col("text")))
-    return d.select(*[F.when(F.col("_hit"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in names])
+    key, hit = (common.fresh(n, docs.columns) for n in ("_key", "_hit"))
+    found = common.stored(update(docs, ledger, rule_version).select(F.unhex("blob").alias(key), F.lit(True).alias(hit)), "hits")
+    d = docs.withColumn(key, F.unhex(_address())).join(found, key, "left")
+    d = d.withColumn("text", F.when(F.col(hit), redact(F.col("text"))).otherwise(F.col("text")))
+    return d.select(*[F.when(F.col(hit), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

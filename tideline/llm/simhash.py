@@ -17,39 +17,50 @@ collapsed to it before all this.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 SEED, SHINGLE = 42, 3
-#: Keys of crowded buckets are broadcast up to so many (8 bytes each); more go by a shuffled join.
-CROWDED_KEYS = 1_000_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash as an unsigned integer; 0 for no words."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashes(text: bytes | None, shingle: int = SHINGLE):
+    """The XXH64 of each shingle, repeats included: an array of unsigned numbers. Fewer words are one shingle; none have none."""
     import numpy as np
     import xxhash
 
     words = (text or b"").translate(_UPPER).split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     starts = [0]
     at = 0
     for w in words:
         at += len(w) + 1
         starts.append(at)
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])])
+    return np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])]), ">u8").astype(np.uint64)
+
+
+def majority(h) -> int:
+    """The number whose bits are those set in over half of `h`."""
+    import numpy as np
+
     bits = np.zeros(64, np.int64)
-    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    for at in range(0, len(raw), 65536):
-        bits += np.unpackbits(raw[at : at + 65536], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(raw)).tobytes(), "big")
+    for at in range(0, len(h), 65536):
+        bits += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big") if len(h) else 0
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash as an unsigned integer; 0 for no words."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
 
         for cols, texts in common.slices(batches):
-            fps = [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t, shingle) for t in texts)]
+            fps = [signed(fingerprint(t, shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -70,17 +81,18 @@ def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `fp` within two bits, a > b: enough for components, at most 64 for each bucket."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     keys = [(F.lit((s * 32 + i) << 32)).bitwiseOR(part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i)))) for s, part in enumerate((high, low)) for i in range(32)]
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    met = common.stored(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"), "buckets")
-    pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
-    keys = met.where("n > 2").select("key")
-    if keys.limit(CROWDED_KEYS + 1).count() <= CROWDED_KEYS:
-        keys = F.broadcast(keys)
-    crowded = index.join(keys, "key", "left_semi").select("fp").distinct()
-    signed = [(1 << i) - (1 << 64) * (i == 63) for i in range(64)]
-    flips = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(x)) for x in signed])).alias("key"))
+    n = common.partitions(fps.sparkSession)
+    spread = fps.where("fp is not null").repartition(n, "fp")  # a table of few small files would be exploded in few tasks
+    index = spread.select("fp", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    bucket = W.partitionBy("key")  # dealt once: count, least and members come from the same rows; a bucket that doesn't fit in memory spills
+    met = index.withColumns({"n": F.count("*").over(bucket), "b": F.min("fp").over(bucket)}).where("n > 1")
+    pairs = (F.col("n") == 2) & (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2)
+    found = met.where(pairs | (F.col("n") > 2)).select(F.col("fp").alias("a"), F.when(F.col("n") == 2, F.col("b")).alias("b"))
+    found = common.stored(found.distinct(), "met")
+    crowd = found.where("b is null").select(F.col("a").alias("fp")).repartition(n, "fp")
+    flips = crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])).alias("key"))
     stars = flips.groupBy("key").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    return found.where("b is not null").union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
