@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`. Each stage is (spark, docs, sf_dir) -> DataFrame.
 
-Quality: rejected documents go. Near duplicates (five-word similarity of 0.8 or more): of each group the document of least doc_id
-stays (rows without doc_id are not judged). Decontamination: contaminated documents go. Secrets: findings are replaced in the texts.
+Quality: rejected documents go. Near duplicates (SimHash links and five-word similarity of 0.8 or more): of each group one row
+stays, that of least doc_id. Decontamination: contaminated documents go. Secrets: findings are replaced in the texts.
 Mixing: documents that the mix takes, range-sorted by their place in training, with what is taken of each.
 """
 
@@ -10,27 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import common, decontam, mixing, nearcopies, quality, secrets
+from tideline.llm import common, decontam, mixing, quality, secrets, similar
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, docs.columns, ("_score", "_kept")).where("_kept").drop("_score", "_kept")
+    score, kept = (common.fresh(n, docs.columns) for n in ("_score", "_kept"))
+    return quality.classify(docs, model, docs.columns, (score, kept)).where(kept).drop(score, kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.stored(nearcopies.near_copies(docs), "groups")
-    gone = common.stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.head(1):
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    return similar.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return judged.where("not contaminated").select(*docs.columns)
+    return judged.where(f"not {common.fresh('contaminated', docs.columns)}").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
