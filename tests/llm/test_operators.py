@@ -358,13 +358,11 @@ def test_links_connect_dense_and_chained_fingerprints(spark):
         assert {root.get(f, f) for f in part} == {min(part)}
 
 
-@pytest.mark.parametrize("bound", [None, 0])
-def test_near_copies_of_the_pipeline(spark, monkeypatch, bound):
+@pytest.mark.parametrize("crowded", [64, 3])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, crowded):
     import corpus_pipeline as p
 
-    if bound is not None:  # all rounds of stars before the rest is expanded
-        monkeypatch.setattr(similar, "PAIRS_ROW", bound)
-        monkeypatch.setattr(similar, "PAIRS_LEAST", bound)
+    monkeypatch.setattr(similar, "CROWDED", crowded)
     r = random.Random(8)
     words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
     texts = []
@@ -385,7 +383,7 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, bound):
             low_, high = sorted((root[a], root[b]))
             root = [low_ if x == high else x for x in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    if bound is None:
+    if crowded == 64:
         assert {x["doc_id"] for x in p.drop_near_duplicates(spark, docs, "").collect()} == set(root)
     else:
         assert sorted(map(tuple, similar.near_copies(docs).select("doc_id", "component_id").collect())) == list(enumerate(root))

@@ -85,7 +85,7 @@ def references(each: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs`: doc_id, the counts, base_failed, class_distance, common_distance (null where not judged), kept.
+    """One row for each row of `docs`: doc_id, the counts, base_failed, class_distance, common_distance (to six places; null where not judged), kept.
 
     Null text has no words; empty and short texts fail the base. Equal rows give equal rows. Extra columns are ignored.
     """
@@ -94,11 +94,11 @@ def judge(docs: DataFrame) -> DataFrame:
     every = refs.where("lang is null").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
     # not broadcast by hint: the number of languages has no bound; few are broadcast by their size
     known = each.join(refs.where("lang is not null"), "lang", "left").join(F.broadcast(every))  # one row joins all: the reference of all rows
+    far = lambda name, least: F.when(F.col("n_words") >= least, F.round(distance(F.col(name), F.coalesce(f"ref_{name}", f"all_{name}")), 6)).alias(f"{name.removesuffix('es')}_distance")
     near = known.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(F.col("n_words") >= LEAST_CLASS, distance(F.col("classes"), F.coalesce("ref_classes", "all_classes"))).alias("class_distance"),
-        F.when(F.col("n_words") >= LEAST_COMMON, distance(F.col("common"), F.coalesce("ref_common", "all_common"))).alias("common_distance"),
+        far("classes", LEAST_CLASS), far("common", LEAST_COMMON),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > FAR_CLASS) | (F.coalesce("common_distance", F.lit(0.0)) > FAR_COMMON)
-    return near.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    odd = (F.coalesce("class_distance", F.lit(0.0)) > FAR_CLASS) | (F.coalesce("common_distance", F.lit(0.0)) > FAR_COMMON)
+    return near.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)

@@ -149,11 +149,13 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(text: Column, mark: str = "[REDACTED]") -> Column:
     """The text with all findings of all rules replaced, rule after rule; whole keys first, else another rule's mark could break a key's frame."""
-    def one(text: Column, kind: str) -> Column:
-        found, values, gaps = _matches(text, kind)
-        after = lambda i: F.when(i >= F.size(found), F.lit("")).when(_good(kind, F.get(found, i), F.get(values, i)), F.lit(mark)).otherwise(F.get(found, i))
-        return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, after(i))), ""))
+    def rule(kind: str):
+        def joined(m: Column) -> Column:
+            after = lambda i: F.when(i >= F.size(m["found"]), F.lit("")).when(_good(kind, F.get(m["found"], i), F.get(m["values"], i)), F.lit(mark)).otherwise(F.get(m["found"], i))
+            return F.array_join(F.transform(m["gaps"], lambda g, i: F.concat(g, after(i))), "")
+
+        return lambda t: common.let(F.struct(*[c.alias(n) for c, n in zip(_matches(t, kind), ("found", "values", "gaps"))]), joined)
 
     for kind in sorted(RULES, key=lambda k: k != "pem"):
-        text = one(text, kind)
+        text = common.let(text, rule(kind))  # bound: each rule uses the text before it several times
     return text

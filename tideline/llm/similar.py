@@ -3,10 +3,10 @@
 At a similarity of 0.8 about ten of a fingerprint's 64 bits differ. Cut into segments that differ by one bit at most, that leaves
 segments too short to be an index. So the fingerprints' links within two bits, by deletion variants and verified on the shingle sets, are the first links here,
 and MinHash bands of the same shingle hashes find the rest: `BANDS` keys of `BAND_ROWS` minima, so a pair of similarity s shares
-a key with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. Every candidate pair that could join two groups is
-verified on its whole shingle sets; no bucket is capped. A pair of one group already says nothing new, so each bucket is
-verified against one member (a star), and again with other members while very many pairs are left between
-different groups; then the pairs that are left are verified. Texts of equal words are collapsed before all this.
+a key with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. A pair of one group already says nothing new, and all pairs of a bucket may be very many: each member of a
+bucket is compared with the bucket's least (a star), then, where a bucket still holds several groups, with the next `NEIGHBOURS` in an order of the minima
+that differs from bucket to bucket (a pair at 0.8 shares six buckets on average). So candidates grow as the rows of the index, whatever the buckets. Those that
+share enough of all minima are verified on their whole shingle sets. Texts of equal words are collapsed before all this.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 SHINGLE, BANDS, BAND_ROWS = 5, 24, 6
-#: Rounds of stars at most, and the pairs (for each row of the buckets, and at least) from which another round comes first.
-STARS, PAIRS_ROW, PAIRS_LEAST = 4, 2, 1_000_000
+#: Members that one is compared with in a bucket after the star, and the rows from which a bucket is cut by the byte that its order begins with.
+NEIGHBOURS, CROWDED = 8, 64
+#: The least share of equal minima (a byte of each) of a pair whose texts are compared.
+LIKELY = 0.64
 
 
 def words_key(text: Column) -> Column:
@@ -47,23 +49,21 @@ def _factors():
     return a | np.uint64(1), b
 
 
-def bands(h) -> list[int]:
-    """The band keys as signed longs; none for no shingles."""
+def bands(h) -> tuple[list[int], bytes]:
+    """(the band keys as signed longs, a byte of each minimum); no keys for no shingles."""
     import numpy as np
     import xxhash
 
-    if not len(h):
-        return []
     odd, mask = _factors()
     least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 512):
         np.minimum(least, ((h[at : at + 512] ^ mask) * odd).min(1), out=least)
-    raw = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return [simhash.signed(x) for x in raw]
+    keys = [simhash.signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return keys if len(h) else [], (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, r1, r2, fp, sim, size, bands) of every row: r1 and r2 are the row's key, fp the key of its words, sim the SimHash, size the number of distinct shingles."""
+    """(doc_id, r1, r2, fp, sim, size, bands, sketch) of every row: r1 and r2 are the row's key, fp the key of its words, sim the SimHash, size the number of distinct shingles."""
     common.tune(docs.sparkSession)
     names = ["doc_id", "r1", "r2", "fp", "sim", "size"]
 
@@ -75,16 +75,33 @@ def signatures(docs: DataFrame) -> DataFrame:
             every = [simhash.hashes(t, SHINGLE) for t in texts]
             distinct = [np.unique(h) for h in every]
             cols |= {"sim": [simhash.signed(simhash.majority(h)) for h in every], "size": [len(h) for h in distinct]}
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], pa.int64()) for k in names), pa.array([bands(h) for h in distinct], pa.list_(pa.int64()))], [*names, "bands"])
+            keys, sketches = zip(*map(bands, distinct))
+            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], pa.int64()) for k in names), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], [*names, "bands", "sketch"])
 
     r1, r2 = common.row_key(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), words_key(F.col("text")).alias("fp"), "text")
-    return given.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", bands array<long>")
+    return given.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share `LIKELY` of the minima or more; a pair at 0.8 shares fewer with a probability below 0.00001."""
+    both = pairs.join(each.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(each.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS) for k in (2, 3))
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= LIKELY))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts (fp, text) are similar, by their whole shingle sets."""
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+    some = common.stored(likely(pairs, each), "likely")
+    both = some.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
 
     def run(batches):
         import numpy as np
@@ -116,41 +133,38 @@ def _first(each: DataFrame) -> DataFrame:
 
 
 def groups(each: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of the distinct texts `each` (fp, sim, size, bands) that are similar to another one; root is the least fp of the group."""
+    """(node, root) of the distinct texts `each` (fp, sim, size, bands, sketch) that are similar to another one; root is the least fp of the group."""
     first = common.stored(_first(each), "first")
     index = each.select("fp", "size", F.explode("bands").alias("key"))
-    members = index.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n")  # dealt once
+    members = index.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")  # dealt once
     members = common.stored(members, "members")
     need = members.select("fp").union(first.select("a")).union(first.select("b")).distinct()
     held = docs.select(words_key(F.col("text")).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).groupBy("fp").agg(F.first("text").alias("text"))
     texts = common.stored(held.join(need, "fp", "left_semi"), "texts")
-    bound = max(PAIRS_LEAST, PAIRS_ROW * members.count())
     alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)  # else the sizes alone rule 0.8 out
-    seen, good = first, verified(first, texts)
-    roots = common.stored(common.components(good), "roots")
-    for turn in range(STARS + 1):
-        now = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("label"))
-        now = common.stored(now, "labelled")
-        shares = now.groupBy("key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
-        left = shares.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        last = turn and (left <= bound or turn == STARS)
-        if last:
-            open_ = now.join(shares.select("key"), "key", "left_semi")
-            other = open_.select("key", F.col("fp").alias("b"), F.col("size").alias("other"), F.col("label").alias("top"))
-            met = open_.join(other, "key").where((F.col("fp") > F.col("b")) & (F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
-        else:
-            order = F.col("fp") if turn == 0 else F.xxhash64("fp", F.lit(turn))
-            tops = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other"))).alias("x")).select("key", "x.b", "x.top", "x.other")
-            met = now.join(tops, "key").where((F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
+    roots = common.stored(common.components(verified(first, each, texts)), "roots")
+
+    def joined(met: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = met.where((F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
         pairs = common.stored(met.select(*_pair("fp", "b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        good, before = verified(pairs, texts), roots
-        roots = common.stored(common.components(before.toDF("a", "b").union(good)), "roots")  # what is joined already is a star: few rounds
-        seen = seen.union(pairs)
-        common.forget(before, good, now)
-        if last:
-            break
+        both = roots.toDF("a", "b").union(verified(pairs, each, texts))  # what is joined already is a star: few rounds
+        return common.stored(common.components(both), "roots"), seen.union(pairs)
+
+    label = lambda: members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+    now = common.stored(label(), "labelled")
+    tops = now.groupBy("key").agg(F.min(F.struct(F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other"))).alias("x"), F.min("label").alias("l"), F.max("label").alias("m"))
+    roots, seen = joined(now.join(tops.where("l <> m").select("key", "x.*"), "key"), first)
+    now = common.stored(label(), "labelled")
+    open_ = now.join(now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"), "key", "left_semi")
+    # the bytes from another place for each bucket: similar texts mostly stand together, in one bucket or another of those that they share
+    width = BANDS * BAND_ROWS
+    at = F.pmod("key", F.lit(width)).cast("int") + 1
+    turned = F.concat(F.substring("sketch", at, F.lit(width)), F.substring("sketch", F.lit(1), at - 1))
+    rows = open_.join(each.select("fp", "sketch"), "fp").select("key", "fp", "size", "label", F.when(F.col("n") > CROWDED, F.substring(turned, 1, 1)).alias("part"), F.substring(turned, 1, 12).alias("turned"))
+    w = W.partitionBy("key", "part").orderBy("turned", "fp")
+    after = F.array_compact(F.array(*[F.lead(F.struct(F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other")), k).over(w) for k in range(1, NEIGHBOURS + 1)]))
+    rows = rows.withColumn("after", after).select("fp", "size", "label", F.inline(F.filter("after", lambda x: x["top"] != F.col("label"))))
+    roots, _ = joined(rows, seen)
     common.forget(members, texts)
     return roots
 
@@ -161,7 +175,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts of equal words are one group whatever their length, null like empty text; a text of fewer words than a shingle is one shingle. Extra columns are ignored.
     """
     rows = common.stored(signatures(docs), "signatures")
-    each = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "distinct")
+    each = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct")
     roots = groups(each, docs).withColumnRenamed("node", "fp")
     label = each.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tops = label.groupBy("root").agg(F.min("least").alias("component_id"))
