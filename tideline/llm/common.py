@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,13 +48,29 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: Frames stored since each `temporary` block began.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary():
+    """What is stored inside goes at the end, unless stored with `keep`; nothing lazy may read it afterwards."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        forget(*_OPEN.pop())
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """`df` written to the shared folder and read back: computed once, and safe when executors are lost."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
     return out
 
 

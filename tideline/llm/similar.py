@@ -11,7 +11,7 @@ share enough of all minima are verified on their whole shingle sets. Texts of eq
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,9 +83,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", bands array<long>, sketch binary")
 
 
+def _both(pairs: DataFrame, rows: DataFrame, column: str, x: str, y: str) -> DataFrame:
+    """The pairs with `column` of both; joined alike at all sizes, with large keys split by adaptive execution."""
+    side = lambda k, name: rows.select(F.col("fp").alias(k), F.col(column).alias(name)).hint("merge")
+    return pairs.join(side("a", x), "a").join(side("b", y), "b")
+
+
 def likely(pairs: DataFrame, each: DataFrame) -> DataFrame:
     """The pairs (a, b) that share `LIKELY` of the minima or more; a pair at 0.8 shares fewer with a probability below 0.00001."""
-    both = pairs.join(each.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(each.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    both = _both(pairs, each, "sketch", "x", "y")
 
     def run(batches):
         import numpy as np
@@ -101,7 +107,7 @@ def likely(pairs: DataFrame, each: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts (fp, text) are similar, by their whole shingle sets."""
     some = common.stored(likely(pairs, each), "likely")
-    both = some.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+    both = _both(some, texts, "text", "text", "other")
 
     def run(batches):
         import numpy as np
@@ -139,34 +145,32 @@ def groups(each: DataFrame, docs: DataFrame) -> DataFrame:
     members = index.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")  # dealt once
     members = common.stored(members, "members")
     need = members.select("fp").union(first.select("a")).union(first.select("b")).distinct()
-    held = docs.select(words_key(F.col("text")).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).groupBy("fp").agg(F.first("text").alias("text"))
-    texts = common.stored(held.join(need, "fp", "left_semi"), "texts")
+    held = docs.select(words_key(F.col("text")).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).groupBy("fp").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # the condition on `copies` keeps the join above the aggregate: copies collapse before texts are dealt out
+    need = need.withColumnRenamed("fp", "node").hint("merge")
+    texts = common.stored(held.join(need, (F.col("fp") == F.col("node")) & (F.col("copies") > 0), "left_semi").select("fp", "text"), "texts")
     alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)  # else the sizes alone rule 0.8 out
-    roots = common.stored(common.components(verified(first, each, texts)), "roots")
-
-    def joined(met: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-        met = met.where((F.col("label") != F.col("top")) & alike(F.col("size"), F.col("other")))
-        pairs = common.stored(met.select(*_pair("fp", "b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        both = roots.toDF("a", "b").union(verified(pairs, each, texts))  # what is joined already is a star: few rounds
-        return common.stored(common.components(both), "roots"), seen.union(pairs)
-
-    label = lambda: members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-    now = common.stored(label(), "labelled")
-    tops = now.groupBy("key").agg(F.min(F.struct(F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other"))).alias("x"), F.min("label").alias("l"), F.max("label").alias("m"))
-    roots, seen = joined(now.join(tops.where("l <> m").select("key", "x.*"), "key"), first)
-    now = common.stored(label(), "labelled")
+
+    def joined(known: list[DataFrame], pairs: DataFrame) -> DataFrame:
+        edges = reduce(DataFrame.union, [*known, verified(pairs, each, texts)])  # what is joined already is a star: few rounds
+        return common.stored(common.components(edges), "roots")
+
+    tops = members.groupBy("key").agg(F.min(F.struct(F.col("fp").alias("b"), F.col("size").alias("other"))).alias("x")).select("key", "x.*")
+    star = members.join(tops, "key").where((F.col("fp") != F.col("b")) & alike(F.col("size"), F.col("other"))).select(*_pair("fp", "b"))
+    seen = common.stored(star.union(first).distinct(), "pairs")
+    roots = joined([], seen)
+    now = common.stored(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root"), "labelled")
     open_ = now.join(now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"), "key", "left_semi")
     # the bytes from another place for each bucket: similar texts mostly stand together, in one bucket or another of those that they share
     width = BANDS * BAND_ROWS
     at = F.pmod("key", F.lit(width)).cast("int") + 1
     turned = F.concat(F.substring("sketch", at, F.lit(width)), F.substring("sketch", F.lit(1), at - 1))
-    rows = open_.join(each.select("fp", "sketch"), "fp").select("key", "fp", "size", "label", F.when(F.col("n") > CROWDED, F.substring(turned, 1, 1)).alias("part"), F.substring(turned, 1, 12).alias("turned"))
+    rows = open_.join(each.select("fp", "sketch").hint("merge"), "fp").select("key", "fp", "size", "label", F.when(F.col("n") > CROWDED, F.substring(turned, 1, 1)).alias("part"), F.substring(turned, 1, 12).alias("turned"))
     w = W.partitionBy("key", "part").orderBy("turned", "fp")
     after = F.array_compact(F.array(*[F.lead(F.struct(F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other")), k).over(w) for k in range(1, NEIGHBOURS + 1)]))
-    rows = rows.withColumn("after", after).select("fp", "size", "label", F.inline(F.filter("after", lambda x: x["top"] != F.col("label"))))
-    roots, _ = joined(rows, seen)
-    common.forget(members, texts)
-    return roots
+    met = rows.withColumn("after", after).select("fp", "size", "label", F.inline(F.filter("after", lambda x: x["top"] != F.col("label")))).where(alike(F.col("size"), F.col("other")))
+    pairs = met.select(*_pair("fp", "b")).distinct().join(seen, ["a", "b"], "left_anti")
+    return joined([roots.toDF("a", "b")], common.stored(pairs, "pairs"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -185,15 +189,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, of each group the one of least doc_id (nulls last), then of least row key; of rows that equal it in all columns one stays."""
-    rows = common.stored(near_copies(docs), "rows")
-    per = rows.groupBy("root", "doc_id", "r1", "r2").agg(F.count("*").alias("n"))  # a group's copies are summed before they meet
-    pick = per.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("r1").alias("k1"), F.col("r2").alias("k2"))).alias("x")).select("root", "x.k1", "x.k2")
     a, b, again = (common.fresh(n, docs.columns) for n in ("_r1", "_r2", "_again"))
-    best = (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))
-    marks = per.join(pick, "root").where(~best | (F.col("n") > 1)).groupBy(F.col("r1").alias(a), F.col("r2").alias(b)).agg(F.max(best).alias(again))
-    marks = common.stored(marks, "marks")
+    with common.temporary():
+        rows = common.stored(near_copies(docs), "rows")
+        per = rows.groupBy("root", "doc_id", "r1", "r2").agg(F.count("*").alias("n"))  # a group's copies are summed before they meet
+        pick = per.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("r1").alias("k1"), F.col("r2").alias("k2"))).alias("x")).select("root", "x.k1", "x.k2")
+        best = (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))
+        marks = per.join(pick, "root").where(~best | (F.col("n") > 1)).groupBy(F.col("r1").alias(a), F.col("r2").alias(b)).agg(F.max(best).alias(again))
+        marks = common.stored(marks, "marks", keep=True)
     r1, r2 = common.row_key(docs)
-    d = docs.withColumns({a: r1, b: r2}).join(marks, [a, b], "left")
+    d = docs.withColumns({a: r1, b: r2}).join(marks.hint("merge"), [a, b], "left")
     left = d.where(F.col(again).isNull())
     if marks.where(F.col(again)).head(1):
         left = left.union(d.where(F.col(again)).dropDuplicates([a, b]).select(*left.columns))
