@@ -103,7 +103,7 @@ def test_two_writers_of_one_version(engine, spark):
     base, events = engine.store.version(), engine.store.read("events")
     assert engine.store.commit(base, {"events": events}) and not engine.store.commit(base, {"events": events.limit(0)})
     assert set(hot(engine)) == {"a"}
-    engine.store.vacuum(1)
+    assert engine.store.vacuum(1) == 2  # the first folder, and that of the writer that lost
     assert set(hot(engine)) == {"a"}
 
 
@@ -118,6 +118,92 @@ def test_stream_dispatch_is_idempotent(engine, spark, tmp_path):
     assert {k: v["status"] for k, v in hot(engine).items()} == {"b": "DISABLED"}
 
 
+def test_a_batch_that_comes_again_changes_nothing(engine, spark):
+    rows = pending(spark, ("a", "ok", 0, 0, None))
+
+    def step(store, base):
+        from tideline.operators import transitions as X
+
+        return {}, {"events": X.publish(store.read("events", base), rows, T).returned}, "published"
+
+    assert engine.store.transact(step, batch=("s", 0)) == "published"
+    assert engine.drain("order", T) == 1 and hot(engine) == {}
+    assert engine.store.transact(step, batch=("s", 0)) is None and hot(engine) == {}  # finished and gone, and not published again
+    assert engine.store.transact(step, batch=("other", 0)) == "published" and engine.store.last_batch("s") == 0
+
+
+def test_writers_that_died_leave_nothing_that_counts(engine, spark, tmp_path):
+    engine.publish(pending(spark, ("a", "ok", 0, 0, None)), T)
+    root = tmp_path / "state"
+    (root / "_commits" / "2.lock").touch()
+    (root / "_commits" / ".half").write_text('{"events": [')
+    engine.store._write("events", 2, engine.store.read("events"))  # a writer that lost the race, or died before its commit
+    engine.publish(pending(spark, ("b", "ok", 0, 0, None)), T)
+    assert set(hot(engine)) == {"a", "b"} and engine.store.vacuum(1) == 1 and set(hot(engine)) == {"a", "b"}
+
+
+def test_entity_locks_and_lost_claims_in_dispatch(engine, spark):
+    engine.publish(pending(spark, ("a", "ok", 0, 0, None), ("b", "ok", 0, 1, None), ("c", "ok", 0, 2, None)), T)
+    keyed = [("a", "k1"), ("b", "k1"), ("c", "k2")]
+    keys = spark.createDataFrame(keyed, "id string, dedup_key string")
+
+    def rekey(store, base):  # keys that don't coalesce: set after publishing
+        events = store.read("events", base).drop("dedup_key").join(keys, "id")
+        return {"events": events.withColumn("payload_class", F.col("dedup_key")).withColumn("dedup_key", F.lit(None).cast("string"))}, {}, None
+
+    engine.store.transact(rekey)
+    at = T + timedelta(minutes=1)
+    assert engine.tick("order", at, lock_key="payload_class", entity_locks=True) == {"delete": 2, "release": 1}
+    left = hot(engine)["b"]
+    assert left["attempts"] == 0 and left["last_fail_reason"] == "lock busy: k1" and left["run_at"] == at + timedelta(seconds=1)
+    assert engine.store.read("entity_locks").count() == 0
+    assert engine.tick("order", at + timedelta(seconds=1), lock_key="payload_class", entity_locks=True) == {"delete": 1}
+    engine.publish(pending(spark, ("d", "ok", 0, 0, None)), T)
+    claimed = engine.claim("order", at)
+    assert engine.owned(claimed).count() == 1
+    assert engine.watchdog(at + timedelta(seconds=300)) == 0 and engine.watchdog(at + timedelta(seconds=20), {"order": 10}) == 1
+    assert engine.owned(claimed).count() == 0 and "stuck" in hot(engine)["d"]["last_fail_reason"] and hot(engine)["d"]["attempts"] == 1
+
+
+def test_admin(engine, spark):
+    engine.publish(pending(spark, *[(f"e{i}", "bad", 0, 0, None) for i in range(5)], ("ok", "ok", 0, 0, None)), T)
+    assert engine.drain("order", T) == 2  # six rows in batches of five
+    page, cursor = engine.find_by_status("DISABLED", limit=3)
+    assert [r["id"] for r in page.collect()] == ["e4", "e3", "e2"]
+    rest, end = engine.find_by_status("DISABLED", "order", 3, cursor)
+    assert [r["id"] for r in rest.collect()] == ["e1", "e0"] and end is None
+    assert engine.reenable("e0", T) and not engine.reenable("e0", T) and not engine.reenable("nope", T)
+    assert engine.reenable_all("order", T, 2) == 2 and engine.find("e0").first()["status"] == "PENDING"
+    assert engine.find_in_archive("ok").count() == 1 and engine.replay_one("ok", T) == "REPLAYED" and engine.replay_one("ok", T) == "NOT_FOUND"
+    assert engine.await_done("nope", 1) == "COMPLETED" and engine.await_done("e4", 1) == "DISABLED" and engine.await_done("ok", 0.1, 0.05) == "TIMED_OUT:PENDING"
+    n = {(r["status"]): r["n"] for r in engine.metrics()}
+    assert n == {"PENDING": 4, "DISABLED": 2}
+    engine.reenable_all("order", T, 1)
+    assert {r["status"]: r["n"] for r in engine.metrics(60)} == n and {r["status"]: r["n"] for r in engine.metrics()} != n
+    assert engine.retention(T + timedelta(days=9), disabled_days=1) == {"archive": 0, "disabled": 1}
+
+
+def test_unknown_types_follow_the_policy(spark, tmp_path):
+    for policy, status in (("SKIP", "PENDING"), ("DISABLE", "DISABLED"), ("FAIL", "PROCESSING")):
+        e = Engine(spark, f"file://{tmp_path}/{policy}", [], EngineConfig(unknown=policy))
+        e.publish(pending(spark, ("a", "ok", 0, 0, None)), T)
+        e.tick("order", T)
+        assert hot(e)["a"]["status"] == status and hot(e)["a"]["attempts"] == 0
+    assert e.sweep_owned(T + timedelta(seconds=601)) == 1 and hot(e)["a"]["last_fail_reason"] == "swept: abandoned local claim"
+
+
+def test_waiting_and_formats():
+    from tideline.policy import AdaptiveWaiter
+
+    w = AdaptiveWaiter(1, 3)
+    assert [w.current, *(w.record(0) or w.current for _ in range(4))] == [1, 1.5, 2.25, 3, 3] and w.next_wait(0.5) == 3 and abs(w.next_wait(0) - 2.7) < 1e-9
+    w.record(2)
+    assert w.current == 1
+    assert [scalar.human_bytes(n) for n in (5, 1536, 3 << 20, 5 << 30)] == ["5B", "1.5KB", "3.0MB", "5.00GB"] and [scalar.human_ms(x) for x in (999, 1500)] == ["999ms", "1.5s"]
+    with pytest.raises(ValueError):
+        AdaptiveWaiter(2, 1)
+
+
 def test_scalars_and_cursors(spark):
     df = spark.range(1).select(scalar.advisory_hash(F.lit("order-1")).alias("h"), FailurePolicy(jitter=0).delay_ms(F.lit(4)).alias("d"), scalar.round_ms(F.lit(1234)).alias("r"))
     assert tuple(df.first()) == (842140288160000396, 40_000, 1.234)

@@ -174,7 +174,7 @@ def sweep_stale(hot: DataFrame, now, seconds: int, limit: int, reason: str = "sw
     return _rewrite(hot, _stale(hot, now, seconds).orderBy("id").limit(limit), **_FREE, attempts=F.col("attempts") + 1, **_bump(), run_at=_now(now), last_fail_reason=reason)
 
 
-def sweep_owned(hot: DataFrame, now, seconds: int, limit: int, worker: str, protected: DataFrame, reason: str = "swept: stale PROCESSING claim") -> Change:
+def sweep_owned(hot: DataFrame, now, seconds: int, limit: int, worker: str, protected: DataFrame, reason: str = "swept: abandoned local claim") -> Change:
     """Stale rows of one worker, oldest first, without ids it still works on."""
     rows = _stale(hot, now, seconds).where(F.col("claimed_by") == worker).join(protected.select("id"), "id", "left_anti").select(*hot.columns).orderBy("claimed_at", "id").limit(limit)
     return _rewrite(hot, rows, **_FREE, attempts=F.col("attempts") + 1, **_bump(), run_at=_now(now), last_fail_reason=reason)
@@ -198,8 +198,16 @@ def publish(hot: DataFrame, pending: DataFrame, now) -> Change:
     return Change(hot.unionByName(row), row, pending.join(hot.select("id"), "id", "left_semi"))
 
 
-def reenable_all(hot: DataFrame, event_type: str | None, now, limit: int, created_before=None) -> Change:
+def page_before(rows: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
+    """The newest `limit` rows past the cursor (created_at, id), newest first."""
+    if after:
+        rows = rows.where(F.struct("created_at", "id") < F.struct(_now(after[0]).alias("created_at"), F.lit(after[1]).alias("id")))
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def reenable_all(hot: DataFrame, event_type: str | None, now, limit: int, created_before=None, event_id=None) -> Change:
     rows = hot.where("status = 'DISABLED'")
+    rows = rows.where(F.col("id") == event_id) if event_id is not None else rows
     rows = rows.where(F.col("event_type") == event_type) if event_type else rows
     rows = rows.where(F.col("created_at") < _now(created_before)) if created_before is not None else rows
     return _rewrite(hot, rows.orderBy("id").limit(limit), status="PENDING", attempts=0, **_bump(), run_at=_now(now), last_fail_reason="reenabled by operator")

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture
+from ..functions import scalar
 from ..operators import registry as R
+from ..operators import reports
 from ..operators import transitions as X
+from ..policy import FailurePolicy, route
 
 NOW = datetime(2024, 1, 20)
 COLS = ["id", "status", "attempts", "version", "run_at", "claimed_by", "last_fail_reason"]
@@ -93,11 +96,104 @@ def _peak(spark: SparkSession, d: str) -> DataFrame:
     return moves.withColumn("run", F.sum("net").over(W.partitionBy("b").orderBy("at"))).join(carry, "b").agg(F.max(F.col("run") + F.col("carry")).alias("peak"))
 
 
+_STATEMENTS = (
+    "WITH  picked AS (SELECT 1)", "INSERT INTO s.events  VALUES (1)", "DELETE FROM s.events e USING (VALUES (1)) v", "DELETE   FROM s.events WHERE id = $1",
+    "UPDATE s.events SET status = $1,  attempts = attempts + 1, run_at = $2", "UPDATE s.events e SET status = $1, run_at = $2", "UPDATE s.events SET status = $1, last_fail_reason = $2",
+    "UPDATE s.events SET status = $1, attempts = attempts + 1 WHERE id IN (SELECT id FROM s.events)", "WITH d AS (DELETE FROM s.events) INSERT INTO s.event_archive SELECT 1", "  with d as (select 1) insert into s.event_archive values (1)", "UPDATE s.workers SET x = 1", "SELECT 1",
+)
+_KINDS = ("claim", "insert", "finalizeBatch", "finalizeSingle", "retry", "release", "disabled", "other", "finalizeSingle", "finalizeBatch", "other", "other")
+
+
+def _carriers(spark, d):
+    """(id, carrier, deferred): a carrier for every other event, marked where the event is due a minute after it was made."""
+    rows = fixture(spark, d, "obx_events").select("id", (F.timestamp_diff("MICROSECOND", "created_at", "run_at") > 60_000_000).alias("deferred"))
+    empty = F.create_map().cast("map<string,string>")
+    carrier = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("trace"), F.concat(F.lit("u-"), (F.col("id") % 100).cast("string")))).otherwise(empty)
+    return rows.withColumn("carrier", F.when(F.col("deferred"), scalar.mark_trace(carrier)).otherwise(carrier))
+
+
+def _text(m):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+_PLAIN = "CASE WHEN id % 2 = 0 THEN 'trace=u-' || CAST(id % 100 AS STRING) ELSE '' END"
+_LINKED = "US[created_at|run_at] > 60000000 AND id % 2 = 0"
+
+
+def _outcomes(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("SUCCESS", "SKIP", "RETRY", "FAIL", "UNKNOWN", "LOCK_BUSY"))), (F.col("id") % 6 + 1).cast("int"))
+    rows = fixture(spark, d, "obx_events").where("status = 'PROCESSING'")
+    return rows.select("id", "event_type", "attempts", kind.alias("kind"), F.lit("why").alias("reason"), F.when(F.col("id") % 9 == 0, 1500).cast("long").alias("delay_ms"))
+
+
+def _decided(spark, d):
+    decision, delay = FailurePolicy(jitter=0).decide(F.col("attempts"), F.col("delay_ms"))
+    return _outcomes(spark, d).select("id", decision.alias("decision"), delay.alias("delay_ms"))
+
+
+def _statements(spark, d):
+    n = len(_STATEMENTS)
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.element_at(F.array(*map(F.lit, _STATEMENTS)), (F.col("event_id") % n + 1).cast("int")).alias("q"), (F.col("event_id") % 10).alias("calls"), (F.col("event_id") % 30).alias("n_rows"), (F.col("event_id") % 7).alias("ms"))
+    sums = rows.groupBy(scalar.statement_kind(F.col("q"), "s.events").alias("kind")).agg(F.count("*").alias("statements"), *[F.sum(c).cast("long").alias(c) for c in ("calls", "n_rows", "ms")])
+    return sums.select("kind", "statements", "calls", "n_rows", "ms", scalar.rate(F.col("ms"), F.col("calls")).alias("mean_ms"), scalar.rate(F.col("n_rows"), F.col("calls")).alias("rows_per_call"))
+
+
+def _writes(spark, d):
+    """Counters of two moments and what was written between them."""
+    rows = fixture(spark, d, "obx_events")
+    at = lambda when: rows.where(F.col("created_at") <= F.lit(when).cast("timestamp_ntz")).agg(F.count("*").alias("inserts"), F.coalesce(F.sum("version"), F.lit(0)).cast("long").alias("updates"), F.count(F.when(F.col("status") == "DISABLED", 1)).alias("deletes"))
+    return reports.deltas(at(datetime(2024, 1, 10)), at(NOW), ["inserts", "updates", "deletes"])
+
+
+def _ratios(spark, d):
+    led, pub = fixture(spark, d, "ledger"), fixture(spark, d, "publishes")
+    return reports.ratios(led, pub)
+
+
 S = lambda change: change.returned.select(*COLS)
 STALE = "status = 'PROCESSING' AND claimed_at < {NOW} - INTERVAL '10' DAY"
 DEAD = "SELECT worker_id, last_heartbeat FROM obx_workers WHERE last_heartbeat < {NOW} - INTERVAL '30' SECOND OR graceful_stop ORDER BY last_heartbeat, worker_id LIMIT 50"
+_FATE = "CASE WHEN attempts + 1 >= 10 THEN 'DISABLE' ELSE 'RETRY' END"
+_BACKOFF = "CAST(least(5000 * pow(2.0, attempts), 3600000) AS BIGINT)"
+_OUTCOMES = "(SELECT id, attempts, CASE id % 6 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'SKIP' WHEN 2 THEN 'RETRY' WHEN 3 THEN 'FAIL' WHEN 4 THEN 'UNKNOWN' ELSE 'LOCK_BUSY' END AS kind, CASE WHEN id % 9 = 0 THEN 1500 END AS own FROM obx_events WHERE status = 'PROCESSING') o"
+_KIND_OF = "CASE event_id % " + str(len(_KINDS)) + " " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_COUNTS = "SELECT count(*) AS i, coalesce(CAST(sum(version) AS BIGINT), 0) AS u, count(*) FILTER (WHERE status = 'DISABLED') AS x FROM obx_events"
 #: name: (Spark, SQL)
 MUTATIONS = {
+    "span_attributes": (
+        lambda s, d: _carriers(s, d).select("id", scalar.propagation(F.col("carrier")).alias("relation"), F.lit("CONSUMER").alias("kind")),
+        f"SELECT id, CASE WHEN {_LINKED} THEN 'link' ELSE 'child' END AS relation, 'CONSUMER' AS kind FROM obx_events",
+    ),
+    "trace_marker": (
+        lambda s, d: _carriers(s, d).select("id", _text(F.col("carrier")).alias("marked"), _text(scalar.strip_trace(F.col("carrier"))).alias("stripped")),
+        f"SELECT id, CASE WHEN {_LINKED} THEN 'event_outboxer.propagation=link,' ELSE '' END || {_PLAIN} AS marked, {_PLAIN} AS stripped FROM obx_events",
+    ),
+    "advisory_hash": (
+        lambda s, d: fixture(s, d, "obx_locks").select("lock_key", scalar.advisory_hash(F.col("lock_key")).alias("hash")),
+        "SELECT lock_key, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM (SELECT lock_key, HEX8[substr(sha256(lock_key), 1, 16)] AS h FROM obx_locks) x",
+    ),
+    "statement_stats": (
+        _statements,
+        f"SELECT kind, count(*) AS statements, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(ms) AS BIGINT) AS ms, CASE WHEN sum(calls) > 0 THEN sum(ms) / sum(calls) ELSE 0.0 END AS mean_ms, CASE WHEN sum(calls) > 0 THEN sum(n_rows) / sum(calls) ELSE 0.0 END AS rows_per_call FROM (SELECT {_KIND_OF} AS kind, event_id % 10 AS calls, event_id % 30 AS n_rows, event_id % 7 AS ms FROM events) s GROUP BY kind",
+    ),
+    "failure_decisions": (_decided, f"SELECT id, {_FATE} AS decision, CASE WHEN attempts + 1 < 10 THEN coalesce(own, {_BACKOFF}) END AS delay_ms FROM {_OUTCOMES}"),
+    "route_outcomes": (
+        lambda s, d: route(_outcomes(s, d), NOW, FailurePolicy(jitter=0), unknown="FAIL").select("id", "kind", "route", "next_run"),
+        f"SELECT id, kind, CASE WHEN kind IN ('SUCCESS', 'SKIP') THEN 'delete' WHEN kind = 'FAIL' THEN 'disable' WHEN kind = 'LOCK_BUSY' THEN 'release' WHEN kind = 'UNKNOWN' THEN 'leave' WHEN {_FATE} = 'RETRY' THEN 'retry' ELSE 'disable' END AS route,"
+        f" {{NOW}} + INTERVAL '0.001' SECOND * CAST(CASE WHEN kind = 'UNKNOWN' THEN 60000 WHEN kind = 'LOCK_BUSY' THEN own WHEN attempts + 1 < 10 THEN coalesce(own, {_BACKOFF}) ELSE 0 END AS INT) AS next_run FROM {_OUTCOMES}",
+    ),
+    "write_counter_deltas": (_writes, f"SELECT b.i - a.i AS inserts, b.u - a.u AS updates, b.x - a.x AS deletes, b.i + b.u + b.x - a.i - a.u - a.x AS total FROM ({_COUNTS} WHERE created_at <= CAST('2024-01-10' AS DATE)) a CROSS JOIN ({_COUNTS}) b"),
+    "run_ratios": (
+        _ratios,
+        "SELECT handled, published, CASE WHEN span > 0 THEN handled / span ELSE 0.0 END AS handled_per_s, CASE WHEN published > 0 THEN runs / published ELSE 0.0 END AS runs_per_event, CASE WHEN published > 0 THEN (published - handled) / published ELSE 0.0 END AS coalesced_share FROM"
+        " (SELECT count(DISTINCT CASE WHEN outcome = 'SUCCESS' THEN seq END) AS handled, CAST(count(*) AS DOUBLE) AS runs, US[min(started_at)|max(finished_at)] / 1000000.0 AS span FROM ledger) l CROSS JOIN (SELECT count(*) AS published FROM publishes) p",
+    ),
+    "invariant_samples": (lambda s, d: reports.samples(fixture(s, d, "ledger").where("attempt > 1"), ["seq", "attempt"]), "SELECT seq, attempt FROM ledger WHERE attempt > 1 ORDER BY seq, attempt LIMIT 20"),
+    "in_flight_by_type": (
+        lambda s, d: reports.in_flight(fixture(s, d, "obx_events"), NOW, 864000),
+        "SELECT event_type, count(*) AS in_flight, count(*) FILTER (WHERE claimed_at + INTERVAL '10' DAY < {NOW}) AS abandoned FROM obx_events WHERE status = 'PROCESSING' GROUP BY event_type",
+    ),
+    "find_by_status": (lambda s, d: X.page_before(_hot(s, d).where("status = 'DISABLED' and event_type = 'click'"), 15, (datetime(2024, 1, 15), 0)).select("id", "created_at"), "SELECT id, created_at FROM obx_events WHERE status = 'DISABLED' AND event_type = 'click' AND created_at < CAST('2024-01-15' AS DATE) ORDER BY created_at DESC, id DESC LIMIT 15"),
     "claim_keep": (lambda s, d: X.keep_first(_picked(s, d)).select("id", "dedup_key"), _CLAIM + "SELECT id, dedup_key FROM keep"),
     "claim_dups": (lambda s, d: _dups(s, d).select("id", "dedup_key"), _CLAIM + "SELECT id, dedup_key FROM dup"),
     "claim_swept": (lambda s, d: X.swept_by_key(_dups(s, d)).select("dedup_key", F.size("coalesced").cast("long").alias("n"), _ids().alias("ids")), _CLAIM + "SELECT dedup_key, n, ids FROM swept"),
@@ -122,7 +218,7 @@ MUTATIONS = {
     "sweep_stale": (lambda s, d: S(X.sweep_stale(_hot(s, d), NOW, 864000, 200)), _freed(STALE, "'swept: stale PROCESSING claim'", tail="ORDER BY id LIMIT 200")),
     "sweep_owned": (
         lambda s, d: S(X.sweep_owned(_hot(s, d), NOW, 864000, 50, "w-3", _hot(s, d).where("id % 7 = 0"))),
-        _freed(STALE + " AND claimed_by = 'w-3' AND id % 7 <> 0", "'swept: stale PROCESSING claim'", tail="ORDER BY claimed_at, id LIMIT 50"),
+        _freed(STALE + " AND claimed_by = 'w-3' AND id % 7 <> 0", "'swept: abandoned local claim'", tail="ORDER BY claimed_at, id LIMIT 50"),
     ),
     "dead_workers": (lambda s, d: R.dead_workers(fixture(s, d, "obx_workers"), NOW).select("worker_id", "last_heartbeat"), DEAD),
     "reclaim_orphans": (
@@ -145,7 +241,7 @@ MUTATIONS = {
     "lease_sweep": (lambda s, d: R.lease_sweep(fixture(s, d, "obx_locks"), NOW).hot.select("lock_key", "expires_at"), "SELECT lock_key, expires_at FROM obx_locks WHERE expires_at > {NOW}"),
     "reenable_all": (lambda s, d: X.reenable_all(_hot(s, d), "click", NOW, 60).returned.select("id", "status", "attempts", "version", "run_at", "last_fail_reason"), "SELECT id, 'PENDING' AS status, 0 AS attempts, version + 1 AS version, {NOW} AS run_at, 'reenabled by operator' AS last_fail_reason FROM obx_events WHERE status = 'DISABLED' AND event_type = 'click' ORDER BY id LIMIT 60"),
     "purge_disabled": (lambda s, d: X.purge_disabled(_hot(s, d), datetime(2024, 1, 10), 100).returned.select("id", "created_at"), "SELECT id, created_at FROM obx_events WHERE status = 'DISABLED' AND created_at < CAST('2024-01-10' AS DATE) ORDER BY id LIMIT 100"),
-    "purge_archive": (lambda s, d: X.purge_archive(fixture(s, d, "obx_archive"), datetime(1995, 1, 1), 500).returned.select("id", "archived_at"), "SELECT id, archived_at FROM obx_archive WHERE archived_at < CAST('1995-01-01' AS DATE) ORDER BY id LIMIT 500"),
+    "purge_archive": (lambda s, d: X.purge_archive(fixture(s, d, "obx_archive"), datetime(1998, 1, 1), 500).returned.select("id", "archived_at"), "SELECT id, archived_at FROM obx_archive WHERE archived_at < CAST('1998-01-01' AS DATE) ORDER BY id LIMIT 500"),
     "replay_blocked": (lambda s, d: _replay(s, d).blocked.select("id", "archived_at"), _REPLAY + "SELECT id, archived_at FROM src WHERE id IN (SELECT id FROM obx_events)"),
     "replay_inserted": (lambda s, d: _replay(s, d).inserted.select("id", "event_type", "priority", "status", "attempts", "version", "created_at"), _REPLAY + "SELECT id, event_type, priority, 'PENDING' AS status, 0 AS attempts, CAST(0 AS BIGINT) AS version, {NOW} AS created_at FROM src WHERE id NOT IN (SELECT id FROM obx_events)"),
     "replay_counts": (

@@ -42,7 +42,7 @@ SELECT id, event_type, created_at, attempts FROM obx_events JOIN c ON created_at
     "workers_in_flight": "SELECT w.worker_id, w.host, count(e.id) AS in_flight FROM obx_workers w LEFT JOIN (SELECT * FROM obx_events WHERE status = 'PROCESSING') e ON e.claimed_by = w.worker_id GROUP BY w.worker_id, w.host",
     "live_leases": "SELECT count(*) AS live FROM obx_locks WHERE expires_at > {NOW} AND owner_worker NOT IN ('w-1', 'w-2')",
     "storage_state": "SELECT count(*) AS n_rows, count(*) = 0 AS clean FROM obx_events",
-    "backlog_by_type": "SELECT event_type, status, count(*) AS n FROM obx_events GROUP BY event_type, status",
+    "backlog_by_type": "SELECT event_type, status, count(*) AS n FROM obx_events GROUP BY event_type, status ORDER BY n DESC, event_type, status",
     "metrics_by_type_status": "SELECT event_type, status, count(*) AS n, min(run_at) FILTER (WHERE status = 'PENDING') AS oldest_run_at, min(claimed_at) FILTER (WHERE status = 'PROCESSING') AS oldest_claimed_at FROM obx_events GROUP BY event_type, status",
     "metrics_per_type": """SELECT event_type, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'PROCESSING') AS processing, count(*) FILTER (WHERE status = 'DISABLED') AS disabled,
  min(run_at) FILTER (WHERE status = 'PENDING') AS oldest_pending FROM obx_events GROUP BY event_type""",
@@ -82,32 +82,18 @@ SELECT a.lock_key, a.seq, a.worker_id, b.seq AS holder_seq, b.worker_id AS holde
     "meter_timers": "SELECT event_type, count(*) AS n, CAST(sum(run_us) AS BIGINT) AS sum_us, max(run_us) AS max_us FROM facts WHERE callback = 'processed' GROUP BY event_type",
     "meter_attempts": "SELECT event_type, callback, count(*) AS n, CAST(sum(attempt) AS BIGINT) AS attempts, max(attempt) AS most FROM facts WHERE callback <> 'retry' GROUP BY event_type, callback",
     "lock_wait_exhausted": "SELECT event_type, floor(1000000.0 * count(*) FILTER (WHERE lock_result = 'busy') / count(*) + 0.5) / 1000000 AS share FROM facts WHERE lock_result <> 'none' GROUP BY event_type",
-    "span_attributes": "SELECT seq, CASE WHEN attempt = 1 THEN 'child' ELSE 'link' END AS relation, 'CONSUMER' AS kind, event_type || ' process' AS span, outcome AS status FROM facts",
-    "trace_marker": "SELECT id, CASE WHEN US[created_at|run_at] > 60000000 THEN 'deferred' ELSE '' END || ':u-' || CAST(id % 100 AS STRING) AS marked, 'u-' || CAST(id % 100 AS STRING) AS stripped FROM obx_events",
-    "advisory_hash": "SELECT lock_key, HEX8[substr({SHA}, 1, 16)] AS unsigned_hash FROM obx_locks",
     "relay_dedup_key": "SELECT id, {SHA2} AS relay_key FROM obx_events WHERE dedup_key IS NOT NULL",
     "relay_envelope": """SELECT id, 'bind-' || event_type AS binding, dedup_key AS message_key, CAST(id AS STRING) AS header_event_id, CASE payload_format WHEN 'json' THEN 'application/json' ELSE 'application/octet-stream' END AS content_type,
  coalesce(payload, payload_binary_text) AS body FROM obx_events WHERE status = 'PROCESSING'""",
     "scenario_assignment": "SELECT seq, 'type-' || CAST(seq % 4 AS STRING) AS event_type, 'key-' || CAST(seq % 64 AS STRING) AS lock_key, 'dedup-' || CAST(seq % 16 AS STRING) AS dedup_key FROM publishes",
     "slow_key_bucket": f"SELECT seq, CASE WHEN {_HASH.format(7, 16777216)} % 1000 < 20 THEN 'key-slow' ELSE 'key-' || CAST(seq % 64 AS STRING) END AS lock_key FROM publishes",
     "fail_bucket": f"SELECT seq, attempt, attempt = 1 AND {_HASH.format(1, 1048576)} % 1000 < 100 AS fails FROM ledger",
-    "statement_stats": """SELECT kind, count(*) AS statements, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM (SELECT calls, n_rows,
- CASE WHEN q LIKE 'with picked as%' THEN 'claim' WHEN q LIKE 'insert into outbox_event%' THEN 'publish' WHEN q LIKE 'delete from outbox_event%' THEN 'finalize' WHEN q LIKE 'update outbox_event%' AND q LIKE '%attempts%' THEN 'retry'
- WHEN q LIKE '%outbox_worker%' THEN 'worker' ELSE 'other' END AS kind FROM (SELECT lower({SQUEEZE}) AS q, calls, n_rows FROM (
- SELECT CASE event_id % 6 WHEN 0 THEN 'WITH  picked AS (SELECT 1)' WHEN 1 THEN 'INSERT INTO outbox_event  VALUES (1)' WHEN 2 THEN 'DELETE   FROM outbox_event WHERE 1' WHEN 3 THEN 'UPDATE outbox_event SET  attempts = 1' WHEN 4 THEN 'UPDATE outbox_worker SET x' ELSE 'SELECT 1' END AS stmt,
- event_id % 10 AS calls, event_id % 30 AS n_rows FROM events) s) t) u GROUP BY kind""",
     "backoff_schedule": "SELECT attempt, CAST(least(5000 * pow(2.0, attempt - 1), 3600000) AS BIGINT) AS delay_ms FROM (SELECT DISTINCT n_nationkey + 1 AS attempt FROM nation) a",
-    "failure_decisions": """SELECT id, CASE WHEN attempts >= 10 THEN 'DISABLE' ELSE 'RETRY' END AS decision, CASE WHEN attempts < 10 THEN coalesce(CASE WHEN id % 9 = 0 THEN CAST(1500 AS BIGINT) END, CAST(least(5000 * pow(2.0, attempts), 3600000) AS BIGINT)) END AS delay_ms
- FROM obx_events WHERE status = 'PROCESSING'""",
-    "route_outcomes": """SELECT id, outcome, CASE WHEN outcome IN ('SUCCESS', 'SKIP') THEN 'delete' WHEN outcome = 'FAIL' THEN 'disable' WHEN attempts >= 10 THEN 'disable' ELSE 'retry' END AS route FROM
- (SELECT id, attempts, CASE id % 4 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'SKIP' WHEN 2 THEN 'RETRY' ELSE 'FAIL' END AS outcome FROM obx_events WHERE status = 'PROCESSING') o""",
     "claim_picked": _RANKED,
     "claim_picked_all_types": """SELECT event_type, id, rn FROM (SELECT event_type, id, row_number() OVER (PARTITION BY event_type ORDER BY priority DESC, run_at, id) AS rn FROM obx_events WHERE status = 'PENDING' AND run_at <= {NOW}) r WHERE rn <= 50""",
 }
 #: Texts whose functions differ: (Spark, DuckDB).
 DIALECT = {
     "{B64}": ("base64(encode(payload_binary_text, 'UTF-8'))", "to_base64(encode(payload_binary_text))"),
-    "{SHA}": ("sha2(lock_key, 256)", "sha256(lock_key)"),
     "{SHA2}": ("sha2(CAST(length('bind-' || event_type) AS STRING) || ':' || 'bind-' || event_type || dedup_key, 256)", "sha256(CAST(length('bind-' || event_type) AS VARCHAR) || ':' || 'bind-' || event_type || dedup_key)"),
-    "{SQUEEZE}": ("regexp_replace(stmt, ' +', ' ')", "regexp_replace(stmt, ' +', ' ', 'g')"),
 }

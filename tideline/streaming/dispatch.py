@@ -1,7 +1,7 @@
 """Dispatch as Structured Streaming: new files of pending events are published as they come, and each micro-batch drains what is due.
 
-A micro-batch that runs again publishes nothing twice (ids that exist are left out) and finalizes nothing twice (the
-guard on id, version and worker no longer matches). There is no watermark: an event whose run_at lies ahead
+A micro-batch that runs again publishes nothing twice: the commit that published it holds its number, also when its events are finished and
+gone. It finalizes nothing twice: the guard on id, version and worker no longer matches. There is no watermark: an event whose run_at lies ahead
 waits in the hot table, however late.
 """
 
@@ -26,17 +26,17 @@ def pending_stream(engine: Engine, folder: str, max_files: int = 100) -> DataFra
     return engine.spark.readStream.schema(PENDING).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def dispatcher(engine: Engine, stream: DataFrame, checkpoint: str, clock: Callable[[], datetime] = _utc, trigger: dict | None = None):
-    """Starts the query. By default it takes all files that are there and stops (availableNow)."""
+def dispatcher(engine: Engine, stream: DataFrame, checkpoint: str, clock: Callable[[], datetime] = _utc, trigger: dict | None = None, name: str = "pending"):
+    """Starts the query; `name` tells the streams into one engine apart. By default it takes all files that are there and stops (availableNow)."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         now = clock()
 
         def step(store, base):
             change = X.publish(store.read("events", base), df.dropDuplicates(["id"]), now)
             return ({}, {"events": change.returned}, None) if change.returned.head(1) else ({}, {}, None)
 
-        engine.store.transact(step)
+        engine.store.transact(step, batch=(name, number))
         for event_type in engine.handlers:
             engine.drain(event_type, now)
 
