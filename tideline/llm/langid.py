@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIM, SYMBOLS, SEED = 512, 64, 20240
+DIM, SYMBOLS, SEED = 512, 256, 20240
 #: Languages whose prototypes are sent to executors: 4 KB each, so 4 MB at most. More raise an error.
 MAX_LANGS = 1024
 #: Unit vectors are rounded to so many steps, so that sums are exact and reruns agree.

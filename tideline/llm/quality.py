@@ -90,7 +90,7 @@ def fit(n, measures, buckets, lengths, quality, toxic):
     import numpy as np
 
     rows = len(n)
-    owner = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    owner = np.repeat(np.arange(rows), lengths)
     words = word_list(buckets, owner, toxic == 1)
     listed = np.bincount(owner, words[buckets], rows) > 0
     annotated = np.where((quality < 0) & (toxic < 0), -1, ((quality == 0) | (toxic == 1)).astype(np.int8))
@@ -98,8 +98,8 @@ def fit(n, measures, buckets, lengths, quality, toxic):
     weights, bias = np.zeros(BUCKETS + BINS * MEASURES), -2.0
     if rows:
         bins = BUCKETS + np.arange(MEASURES) * BINS + np.minimum(BINS - 1, (measures * BINS).astype(np.int64))
-        cols = np.concatenate((buckets.astype(np.int32), bins.ravel().astype(np.int32)))
-        owner = np.concatenate((owner, np.repeat(np.arange(rows, dtype=np.int32), MEASURES)))
+        cols = np.concatenate((buckets, bins.ravel()), dtype=np.intp)
+        owner = np.concatenate((owner, np.repeat(np.arange(rows), MEASURES)))
         live = np.bincount(cols, minlength=len(weights))[cols] >= 3
         cols, owner = cols[live], owner[live]
         m, s = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
