@@ -131,13 +131,13 @@ def test_tagger_on_held_out_spellings():
             t = " ".join(name() for _ in range(r.randint(0, 20))) + " " + s + " " + " ".join(name() for _ in range(r.randint(1, 20)))
             made.append((t, kind, t.index(s), t.index(s) + len(s)))
         clean.append(" ".join(name() for _ in range(10)) + r.choice([f" {digits(4)}-{digits(2)}-{digits(2)} ", f" v{digits(1)}.{digits(2)} ", " we meet (at) noon ", f" {digits(6)} ", f" {digits(2)}:{digits(2)} "]) + name())
-    tagger = pii.Tagger().fit(pii.made_windows())
+    tagger = pii.fitted([])
     found = pii.tag([m[0] for m in made] + clean, tagger)
     found = [[s for s in spans if pii._plausible(s[0], t[s[1] : s[2]])] for t, spans in zip([m[0] for m in made] + clean, found)]
     hit = sum((k, a, b) in spans for (_, k, a, b), spans in zip(made, found))
     total = sum(map(len, found))
     print("recall", hit / len(made), "precision", hit / max(1, total), "spans in clean texts", sum(map(len, found[len(made) :])))
-    assert hit / len(made) >= 0.85 and hit / total >= 0.9 and not any(pii.exact(m[0]) for m in made)
+    assert hit / len(made) >= 0.9 and hit / total >= 0.9 and not any(pii.exact(m[0]) for m in made)
 
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words int, n_hit int, contaminated string, spans string, _kept string, _score string, _text string, _key string, _hit string, _meta string, _r1 string, _src string, _order string, position3 string"

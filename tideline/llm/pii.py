@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH, FIT_WINDOWS, MADE = 64, 600, 900
+WIDTH, FIT_WINDOWS, MADE, SPELLED, EPOCHS = 64, 600, 900, 600, 10
 HIDDEN, EMBED, SYMBOLS = 20, 12, 100
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,8 +102,8 @@ def spans_to_tags(n: int, spans) -> list[int]:
     return tags
 
 
-def made_windows(n: int = MADE, seed: int = 11):
-    """Labelled windows from a fixed seed: (symbols, tags) of WIDTH each."""
+def made_windows(n: int = MADE, seed: int = 11, kinds: tuple[str, ...] = (*KINDS, "", "")):
+    """Labelled windows from a fixed seed: (symbols, tags) of WIDTH each; the empty kind is a look-alike."""
     import random
 
     r = random.Random(seed)
@@ -117,7 +117,7 @@ def made_windows(n: int = MADE, seed: int = 11):
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def one():
-        kind = r.choice([*KINDS, "", ""])
+        kind = r.choice(kinds)
         if kind == "email":
             at, dot = r.choice([("@", "."), ("@", "."), (" (at) ", "."), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
             name = lambda: word().encode("ascii", "ignore").decode() or "x"
@@ -356,8 +356,13 @@ _ANCHOR = re.compile(rb"[0-9@]|\(at\)|\[at\]")
 _SPELLED = re.compile(r"\(at\)|\[at\]")
 
 
+def fitted(windows: list[tuple]) -> Tagger:
+    """Trained on `windows`, the made ones, and more of the kinds that are spelled in many ways."""
+    return Tagger().fit([*windows, *made_windows(), *made_windows(SPELLED, 12, ("email", "phone"))], EPOCHS)
+
+
 def train(docs: DataFrame) -> Tagger:
-    return Tagger().fit([*labelled_windows(docs), *made_windows()])
+    return fitted(labelled_windows(docs))
 
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
