@@ -192,6 +192,57 @@ def test_unknown_types_follow_the_policy(spark, tmp_path):
     assert e.sweep_owned(T + timedelta(seconds=601)) == 1 and hot(e)["a"]["last_fail_reason"] == "swept: abandoned local claim"
 
 
+def test_relay_and_failure_handlers():
+    from tideline.handlers import SUCCESS, RelayHandler, failed
+
+    sent = []
+    relay = RelayHandler("e", lambda *a: sent.append(a) or a[0] == "good", "key")
+    envelope = {"binding": "good", "key": "k", "headers": {"x": "1"}, "content_type": "application/json", "payload": "{}"}
+    assert relay.handle({"id": 7}, envelope) == SUCCESS
+    assert sent[0] == ("good", {"x": "1", "outboxer_eventId": "7", "contentType": "application/json", "key": b"k"}, "{}")
+    assert relay.handle({"id": 7}, envelope | {"binding": "bad", "payload": None, "payload_binary": b"x"}).kind == "RETRY" and sent[1][2] == b"x"
+
+    class Decides:
+        def on_failure(self, context, outcome):
+            return {"fatal": Outcome("FAIL", "no use"), "throws": None}[outcome.reason] if outcome.reason != "throws" else 1 / 0
+
+    assert failed(Decides(), {}, Outcome("RETRY", "fatal")).kind == "FAIL" and failed(Decides(), {}, SUCCESS) == SUCCESS
+    assert failed(Decides(), {}, Outcome("RETRY", "throws")).reason.startswith("failure handler threw: ZeroDivisionError")
+    merged = FailurePolicy(max_attempts=3).merged(base_ms=200, cap_ms=None)
+    assert (merged.max_attempts, merged.base_ms, merged.cap_ms) == (3, 200, 3_600_000)
+
+
+def test_sinks_and_report(spark, tmp_path):
+    from pyspark.sql import Row
+
+    from tideline.operators import reports
+    from tideline.schema import HANDLING
+
+    rows = [(2, "a", 1, "w", "t", None, None, T, T + timedelta(seconds=2), "SUCCESS"), (1, "a", 1, "w", "t", "k,1", 'q"x', T, T + timedelta(seconds=1), "SUCCESS"), (1, "a", 2, "w", "t", None, None, T + timedelta(seconds=1), T + timedelta(seconds=3), "FAIL")]
+    ledger = spark.createDataFrame(rows, HANDLING)
+    sinks.ledger_csv(ledger, f"{tmp_path}/csv")
+    lines = [x for f in sorted((tmp_path / "csv").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("seq")]
+    assert [x.split(",")[0] for x in lines] == ["1", "1", "2"] and lines[0].split(",")[-2] == "2024-05-01T00:00:01.000000" and ",,," in lines[2]
+    publishes = spark.createDataFrame([Row(seq=i, published_at=T) for i in (1, 2, 3)]).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    report = reports.report(ledger, publishes)
+    sinks.report_json(report, f"{tmp_path}/json")
+    got = spark.read.json(f"{tmp_path}/json").first()
+    assert (got["handled"], got["published"], got["p50_ms"], got["max_ms"], got["runs_per_event"]) == (2, 3, 1000.0, 2000.0, 1.0)
+    assert reports.summary(report.first()) == "2 of 3 handled, 1/s, 33.3 % coalesced, p50 1.0s, p95 2.0s, p99 2.0s"
+    maps = spark.createDataFrame([('{"a":"x\\u0001y\\n\\"z"}',), ("",), (None,)], "m string").select(sinks.map_from_json(F.col("m")).alias("m"))
+    back = maps.select("m", sinks.map_from_json(sinks.map_to_json(F.col("m"))).alias("again")).collect()
+    assert back[0]["m"] == {"a": 'x\x01y\n"z'} and all(r["m"] == r["again"] for r in back) and back[1]["m"] == back[2]["m"] == {}
+
+
+def test_long_reasons_are_cut(engine, spark):
+    from tideline.operators import transitions as X
+
+    engine.publish(pending(spark, ("a", "ok", 0, 0, None)), T)
+    claimed = engine.claim("order", T)
+    marks = claimed.select("id", "version", "claimed_by", F.repeat(F.lit("x"), 10_500).alias("reason"), F.lit(T).cast("timestamp_ntz").alias("next_run"))
+    assert len(X.mark_retry(engine.store.read("events"), marks).returned.first()["last_fail_reason"]) == 10_000
+
+
 def test_waiting_and_formats():
     from tideline.policy import AdaptiveWaiter
 

@@ -12,8 +12,9 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 def golden_bucket(seq: Column, add: int, shift: int, buckets: int = 1000) -> Column:
     """((seq + add) * GOLDEN, wrapped to 64 bits) >>> shift, modulo buckets."""
-    product = ((seq + add).cast("decimal(38,0)") * F.lit(GOLDEN).cast("decimal(20,0)")) % F.lit(_WRAP).cast("decimal(20,0)")
-    return (F.floor(product / (1 << shift)) % buckets).cast("int")
+    whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    product = ((seq + add).cast("decimal(18,0)") * whole(GOLDEN)) % whole(_WRAP)
+    return (((product - product % whole(1 << shift)) / whole(1 << shift)).cast("decimal(20,0)") % buckets).cast("int")
 
 
 def advisory_hash(key: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import time
-import traceback
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -28,11 +27,42 @@ SUCCESS, SKIP = Outcome("SUCCESS"), Outcome("SKIP")
 
 
 class EventHandler(Protocol):
+    """May also have `on_failure(context, outcome) -> Outcome`, asked after a RETRY or an exception; if that throws, the event is disabled."""
+
     event_type: str
 
     def handle(self, context: dict, payload: Any) -> Outcome | None: ...
 
 
+@dataclass
+class RelayHandler:
+    """Sends envelopes through `sender(binding, headers, body) -> bool`; what is not acknowledged is tried again.
+
+    The payload is an envelope as `sinks.envelope` makes it: binding, key, headers, content_type, and text or bytes.
+    """
+
+    event_type: str
+    sender: Callable[[str, dict, Any], bool]
+    key_header: str | None = None
+
+    def handle(self, context: dict, payload: dict) -> Outcome:
+        headers = {**(payload.get("headers") or {}), "outboxer_eventId": str(context["id"]), "contentType": payload["content_type"]}
+        if self.key_header and payload.get("key") is not None:
+            headers[self.key_header] = payload["key"].encode()
+        body = payload["payload"] if payload.get("payload") is not None else payload["payload_binary"]
+        return SUCCESS if self.sender(payload["binding"], headers, body) else Outcome("RETRY", f"sender did not acknowledge for binding '{payload['binding']}'")
+
+
+def failed(handler, context: dict, done: Outcome) -> Outcome:
+    """What a failed attempt becomes: the handler's own decision if it has one."""
+    if done.kind != "RETRY" or not hasattr(handler, "on_failure"):
+        return done
+    try:
+        return handler.on_failure(context, done) or done
+    except Exception as e:
+        return Outcome("FAIL", f"failure handler threw: {type(e).__name__}: {e}")
+
+
 def _json_out(value: Any) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
@@ -83,7 +113,8 @@ def run_handlers(claimed: DataFrame, handlers: dict[str, EventHandler], codecs:
                         payload = codecs.decode(r.get("payload_format") or "json", r.get("payload"), r.get("payload_binary"))
                         done = handler.handle(r, payload) or SUCCESS
                     except Exception as e:
-                        done = Outcome("RETRY", f"{type(e).__name__}: {e}" or traceback.format_exc(limit=1))
+                        done = Outcome("RETRY", f"{type(e).__name__}: {e}")
+                    done = failed(handler, r, done)
                 out.append((str(r["id"]), r["version"], r["claimed_by"], r["event_type"], r["attempts"], done.kind, done.reason, done.delay_ms, begun, time.time_ns() // 1000, threading.current_thread().name))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
             yield frame.astype({"delay_ms": "Int64", "version": "Int64", "attempts": "Int32"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rate
+from ..functions.scalar import human_ms, rate
 from .transitions import _now
 
 
@@ -32,3 +32,21 @@ def in_flight(hot: DataFrame, now, seconds: int) -> DataFrame:
     """By type: claimed rows, and those claimed longer ago than `seconds`."""
     old = F.col("claimed_at") + F.make_dt_interval(secs=F.lit(seconds)) < _now(now)
     return hot.where("status = 'PROCESSING'").groupBy("event_type").agg(F.count("*").alias("in_flight"), F.count(F.when(old, 1)).alias("abandoned"))
+
+
+def latency(ledger: DataFrame, publishes: DataFrame) -> DataFrame:
+    """One row: n, p50_ms, p95_ms, p99_ms (nearest rank) and max_ms from an event's publishing to its first success; negative is 0."""
+    first = ledger.where("outcome = 'SUCCESS'").groupBy("seq").agg(F.min("finished_at").alias("first_at"))
+    us = F.greatest(F.lit(0), F.timestamp_diff("MICROSECOND", "published_at", "first_at")).alias("us")
+    rank = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY us)") / 1000, 3)
+    return publishes.join(first, "seq").select(us).agg(F.count("*").alias("n"), *[rank(p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)], F.round(F.max("us") / 1000, 3).alias("max_ms"))
+
+
+def report(ledger: DataFrame, publishes: DataFrame) -> DataFrame:
+    """One row: ratios and latency of a run."""
+    return ratios(ledger, publishes).join(latency(ledger, publishes))
+
+
+def summary(row) -> str:
+    """A report's row as one line for a console."""
+    return f"{row['handled']} of {row['published']} handled, {row['handled_per_s']:.0f}/s, {100 * row['coalesced_share']:.1f} % coalesced, p50 {human_ms(int(row['p50_ms'] or 0))}, p95 {human_ms(int(row['p95_ms'] or 0))}, p99 {human_ms(int(row['p99_ms'] or 0))}"

@@ -13,6 +13,8 @@ from ..operators import registry as R
 from ..operators import reports
 from ..operators import transitions as X
 from ..policy import FailurePolicy, route
+from .reads import _HASH
+from .scenarios import PRESETS
 
 NOW = datetime(2024, 1, 20)
 COLS = ["id", "status", "attempts", "version", "run_at", "claimed_by", "last_fail_reason"]
@@ -188,6 +190,19 @@ MUTATIONS = {
         "SELECT handled, published, CASE WHEN span > 0 THEN handled / span ELSE 0.0 END AS handled_per_s, CASE WHEN published > 0 THEN runs / published ELSE 0.0 END AS runs_per_event, CASE WHEN published > 0 THEN (published - handled) / published ELSE 0.0 END AS coalesced_share FROM"
         " (SELECT count(DISTINCT CASE WHEN outcome = 'SUCCESS' THEN seq END) AS handled, CAST(count(*) AS DOUBLE) AS runs, US[min(started_at)|max(finished_at)] / 1000000.0 AS span FROM ledger) l CROSS JOIN (SELECT count(*) AS published FROM publishes) p",
     ),
+    "run_report": (
+        lambda s, d: reports.latency(fixture(s, d, "ledger"), fixture(s, d, "publishes")),
+        "SELECT count(*) AS n, floor(DISC[0.5|us] + 0.5) / 1000 AS p50_ms, floor(DISC[0.95|us] + 0.5) / 1000 AS p95_ms, floor(DISC[0.99|us] + 0.5) / 1000 AS p99_ms, floor(max(us) + 0.5) / 1000 AS max_ms FROM"
+        " (SELECT greatest(0, US[p.published_at|f.first_at]) AS us FROM publishes p JOIN (SELECT seq, min(finished_at) AS first_at FROM ledger WHERE outcome = 'SUCCESS' GROUP BY seq) f ON p.seq = f.seq) l",
+    ),
+    "scenario_dedup_burst": (
+        lambda s, d: PRESETS["dedup-burst"].assignment(s).groupBy("dedup_key").agg(F.count("*").alias("n")),
+        "SELECT 'dedup-' || CAST(i % 64 AS STRING) AS dedup_key, count(*) AS n FROM (SELECT unnest(range(20000)) AS i) r GROUP BY 1",
+    ),
+    "scenario_failures": (
+        lambda s, d: PRESETS["failures"].assignment(s).where("fails").select("seq", "event_type"),
+        f"SELECT seq, 'type-0' AS event_type FROM (SELECT unnest(range(5000)) AS seq) r WHERE {_HASH.format(1, 1048576)} % 1000 < 100",
+    ),
     "invariant_samples": (lambda s, d: reports.samples(fixture(s, d, "ledger").where("attempt > 1"), ["seq", "attempt"]), "SELECT seq, attempt FROM ledger WHERE attempt > 1 ORDER BY seq, attempt LIMIT 20"),
     "in_flight_by_type": (
         lambda s, d: reports.in_flight(fixture(s, d, "obx_events"), NOW, 864000),

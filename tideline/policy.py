@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from random import random
 
 from pyspark.sql import Column
@@ -21,6 +21,10 @@ class FailurePolicy:
     exhausted: str = "DISABLE"
     seed: int | None = None
 
+    def merged(self, **own) -> FailurePolicy:
+        """This policy with a type's own settings over it; None keeps what stands here."""
+        return replace(self, **{k: v for k, v in own.items() if v is not None})
+
     def delay_ms(self, attempt: Column) -> Column:
         """attempt counts from 1; milliseconds, truncated."""
         plain = F.least(F.lit(float(self.base_ms)) * F.pow(F.lit(self.multiplier), attempt - 1), F.lit(float(self.cap_ms))).cast("long")

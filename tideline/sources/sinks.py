@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 def ledger_csv(ledger: DataFrame, path: str) -> None:
     """By seq, then start, range-sorted over files that sort by name; nulls are empty fields."""
     cols = ["seq", "event_type", "attempt", "worker_id", "thread", "lock_key", "dedup_key", "started_at", "finished_at", "outcome"]
-    ledger.select(*cols).orderBy("seq", "started_at").write.csv(path, header=True, nullValue="", emptyValue="", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ledger.select(*cols).orderBy("seq", "started_at").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path, header=True, nullValue="", emptyValue="")
 
 
 def report_json(report: DataFrame, path: str) -> None:
-    report.write.json(path)
+    """A report of few rows, one JSON object a line."""
+    report.write.json(path, ignoreNullFields=False)
 
 
 def map_from_json(text: Column) -> Column:
@@ -42,11 +42,8 @@ def decode_cursor(text: str) -> tuple[datetime, str]:
         raise ValueError(f"malformed cursor {text!r}") from None
 
 
-def envelope(events: DataFrame, binding: Column) -> DataFrame:
-    """What a broker relay sends: binding, key, headers, content type, and the payload as text or bytes."""
+def envelope(events: DataFrame, binding: Column, content_type: Column | None = None) -> DataFrame:
+    """What a broker relay sends: binding, key, headers, content type (as given, else by the payload's lane), and the payload as text or bytes."""
     kind = F.when(F.col("payload").isNotNull(), "application/json").otherwise("application/octet-stream")
+    kind = kind if content_type is None else F.coalesce(content_type, kind)
     return events.select("id", binding.alias("binding"), F.col("dedup_key").alias("key"), F.create_map(F.lit("event_id"), F.col("id").cast("string")).alias("headers"), kind.alias("content_type"), "payload", "payload_binary")
-
-
-def dumps(value) -> str:
-    return json.dumps(value, default=str, sort_keys=True)
