@@ -59,7 +59,7 @@ SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, {_BASE32.replace("(h,", "(
 
 def _rules() -> str:
     left = lambda keep: f"length(regexp_replace(t, '{keep}', '', 'g'))"
-    classes = [left(p.replace("\\t-\\r", "\\x09-\\x0D")) for p in rules.CLASSES.values()]
+    classes = [left(p) for p in ("[^a-z]+", "[^A-Z]+", "[^0-9]+", "[^\\x20\\x09-\\x0D]+", "[^!-/:-@\\[-`{-~]+")]
     common = "[" + ", ".join("'" + w + "'" for w in rules.COMMON) + "]"
     k, m = len(rules.CLASSES) + 1, len(rules.COMMON) + 1
     sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
@@ -72,7 +72,7 @@ def _rules() -> str:
 
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 e AS (SELECT rid, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS ls, [{", ".join(classes)}] AS cs FROM d),
-f AS (SELECT rid, doc_id, lang, len(ws) AS n_words, length(t) - cs[{list(rules.CLASSES).index("space") + 1}] AS word_chars, {left(rules.SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+f AS (SELECT rid, doc_id, lang, len(ws) AS n_words, length(t) - cs[{list(rules.CLASSES).index("space") + 1}] AS word_chars, {left("[^#*$%&|<>]+")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
  list_append(cs, length(t) - list_sum(cs)) AS classes FROM e),
 w AS (SELECT rid, i, lower(ws[i]) AS lw, CASE WHEN i <= len(ws) - 2 THEN ws[i:i + 2] END AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM e WHERE len(ws) > 0) x),
 r AS (SELECT rid, count(DISTINCT j) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM w WHERE g IS NOT NULL) y WHERE n > 1) z GROUP BY rid),

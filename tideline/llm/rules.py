@@ -10,6 +10,8 @@ judged by that histogram, as short texts differ by chance.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,18 @@ COMMON = (
     "de la le et les des un que en du une est pour dans par sur "
     "el los y se del las con para su al como más una por lo"
 ).split()
-#: Character classes as Java patterns of what isn't in them; the last class has all the rest.
-CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "space": "[^ \\t-\\r]+", "mark": "[^!-/:-@\\[-`{-~]+"}
-SYMBOLS = "[^#*$%&|<>]+"
+
+
+def _but(chars: str) -> str:
+    """A pattern of runs of all but `chars`, which are listed one by one: the matcher tests such a class by a table, a range by a chain of conditions."""
+    return "[^" + "".join("\\" + c if c in "\\[]^-&" else c for c in chars) + "]+"
+
+
+_SPACE = " \t\n\v\f\r"
+#: The characters of each class. Upper, digit, mark and the rest are counted by removing all others, space and lower are what is left.
+CLASSES = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "digit": string.digits, "space": _SPACE, "mark": string.punctuation}
+OTHER = _but("".join(CLASSES.values())).replace("[^", "[", 1)
+SYMBOLS = _but("#*$%&|<>")
 #: The least words for each histogram, and the greatest distances (0 to 1) kept.
 LEAST_CLASS, LEAST_COMMON, FAR_CLASS, FAR_COMMON = 50, 100, 0.25, 0.40
 _COUNTERS = [chr(0x100 + i) for i in range(len(COMMON))]
@@ -56,14 +67,15 @@ def counts(docs: DataFrame) -> DataFrame:
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, "")).cast("long")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     d = d.withColumn("words", F.filter(F.split("t", "[ \\t-\\r]+"), lambda w: w != "")).withColumn("lines", F.filter(F.split("t", "\n"), lambda s: s.rlike("[^ \\t-\\r]")))
-    d = d.withColumn("lengths", F.array(*[left(p) for p in CLASSES.values()]))
-    places = F.transform("words", lambda w: F.array_position(F.lit(COMMON), F.lower(w)))
-    marks = F.array_join(F.transform(F.filter(places, lambda i: i > 0), lambda i: F.substring(F.lit("".join(_COUNTERS)), i.cast("int"), 1)), "")
+    d = d.withColumns({"n": F.length("t").cast("long"), "chars": F.length(F.array_join("words", "")).cast("long"), "other": left(OTHER), **{k: left(_but(CLASSES[k])) for k in ("upper", "digit", "mark")}})
+    d = d.withColumn("space", F.col("n") - F.col("chars")).withColumn("lower", F.col("chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("other"))
+    places = F.transform(F.filter("words", lambda w: F.length(w) <= max(map(len, COMMON))), lambda w: F.find_in_set(F.lower(w), F.lit(",".join(COMMON))))  # a comma is in no word of the list, so a word that has one isn't found
+    marks = F.array_join(F.transform(F.filter(places, lambda i: i > 0), lambda i: F.substring(F.lit("".join(_COUNTERS)), i, 1)), "")
     d = d.withColumn("marks", marks)
     return d.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (F.length("t") - F.element_at("lengths", list(CLASSES).index("space") + 1)).alias("word_chars"), left(SYMBOLS).alias("n_symbols"),
+        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), F.col("chars").alias("word_chars"), left(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeats(F.col("words")).alias("n_repeat_words"),
-        F.concat("lengths", F.array(F.length("t") - F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).alias("classes"),
+        F.array(*CLASSES, "other").alias("classes"),
         F.array(*[F.length("marks") - F.length(F.replace(F.col("marks"), F.lit(c), F.lit(""))) for c in _COUNTERS], F.size("words") - F.length("marks")).cast("array<long>").alias("common"),
     )
 
