@@ -169,8 +169,9 @@ def test_water_filling():
     assert [g[0] for g in got] == ["a", "b", "c", None] and got[0][2] == 20 and abs(sum(g[2] for g in got) - 3000) < 1e-9
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_warc_round_trip(spark, least):
+@pytest.mark.parametrize("least, hot", [(0, warc.HOT), (5, warc.HOT), (0, 1)])
+def test_warc_round_trip(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     html = [None, "", "<p>é</p>", "<p>é</p>", "x" * (3 * warc.CHUNK + 5), "WARC/1.1\r\n\r\nhi", "<p>é</p>", "abc", "abc"]
     rows = [(i, f"http://h/{i}\r\nX: y" if i else None, h, "other") for i, h in enumerate(html)] + [(6, "again", "<p>é</p>", "o")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)
@@ -183,7 +184,7 @@ def test_warc_round_trip(spark, least):
         again = len(b) >= least and i != top[h or ""]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", top[h or ""] if again else None))
     same(warc.round_trip(pages, least=least), want, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    chunks = warc.read(warc.write(warc.plan(pages, least), common.scratch(spark, "w"))).where("page_id = 4").orderBy("chunk_no").collect()
+    chunks = warc.read(warc.write(pages, common.scratch(spark, "w"), least)).where("page_id = 4").orderBy("chunk_no").collect()
     assert len(chunks) > 1 and max(len(c["chunk"]) for c in chunks) <= warc.CHUNK and b"".join(bytes(c["chunk"]) for c in chunks).decode() == html[4]
     assert warc.round_trip(pages.limit(0)).count() == 0
 

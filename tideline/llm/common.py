@@ -74,12 +74,16 @@ def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, if it is there, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the folders that `stored` wrote for frames that nothing will read again."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.scratch_path)
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -1,10 +1,14 @@
 """WARC archives written and read back as a chunked record table.
 
 Payloads of equal digest and length: the record of largest page_id is the response, the others are
-revisits that refer to it. Each task writes one archive of gzip members, a record each, to a
-folder that all executors share, under a name of its own for each attempt; only archives in the
-returned manifest count, so an attempt that was lost leaves nothing but an unread file. Payloads
-go through the compressor and the digest in chunks.
+revisits that refer to it. Payloads are never shuffled: each task writes its rows as they come to a
+draft, all as responses, and only the records' places and digests are joined; then each draft is
+copied, member by member, with a revisit's header in place of a payload that another record holds.
+
+Archives are gzip members, a record each, in a folder that all executors share, under a name of
+their own for each attempt; only those in the returned manifest (and drafts in the stored places)
+count, so an attempt that was lost leaves nothing but an unread file. Payloads go through the
+compressor and the digest in chunks.
 
 Reading streams an archive into rows (record_id, chunk_no): each has at most `CHUNK` bytes of
 payload, the digest of all bytes so far, and whether it is the last; no record is held whole.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK, LEAST_REVISIT = 1 << 20, 0
+#: A payload with more than one in so many of the rows is hot.
+HOT = 1000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -39,68 +46,144 @@ def _clean(s) -> str:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    uri = re.sub("^s3[an]:", "s3:", uri)
+    return fs.FileSystem.from_uri(uri if re.match("[a-z0-9]+:", uri) else f"file://{uri}")
 
 
 def record_urn(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
 
 
-def plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to) of every row. Null html is the empty payload; a row
-    that repeats the largest page_id is a response too, and null ids never answer for others."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("digest", F.sha1("payload"))
-    first = p.where(F.length("payload") >= least).groupBy("digest", F.length("payload").alias("bytes")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")  # a lone payload needs no join
-    d = p.join(first.select("digest", "top"), "digest", "left")
-    revisit = F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
-    return d.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
+class _Archive:
+    """A new archive of a task, made when its first record comes: gzip members, one for each record."""
+
+    def __init__(self, folder: str):
+        self.folder, self.out, self.records, self.bytes = folder, None, 0, 0
+
+    def put(self, data) -> None:
+        if self.out is None:
+            from pyspark import TaskContext
+
+            fs, root = _filesystem(self.folder)
+            fs.create_dir(root, recursive=True)
+            name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+            self.path, self.out = f"{self.folder}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
+        self.out.write(data)
+        self.bytes += len(data)
+
+    def record(self, page, url, digest: str, length: int, payload, refers=None) -> None:
+        """One member: a response with its payload, in pieces, or with `payload` None a revisit."""
+        block = memoryview(b"") if payload is None else payload
+        head = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {record_urn(page)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8", f"X-Payload-Length: {length}"]
+        head += [f"X-Page-ID: {page}"] if page is not None else []
+        head += [f"WARC-Refers-To: {record_urn(refers)}", f"X-Refers-To-Page-ID: {refers}", f"WARC-Profile: {_PROFILE}"] if payload is None else []
+        head += [f"Content-Length: {len(block)}", "", ""]
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self.put(z.compress("\r\n".join(head).encode()))
+        for a in range(0, len(block), CHUNK):
+            self.put(z.compress(block[a : a + CHUNK]))
+        self.put(z.compress(b"\r\n\r\n") + z.flush())
+        self.records += 1
+
+    def copy(self, stream, size: int) -> None:
+        """A member as it stands in another archive."""
+        while size:
+            got = stream.read(min(size, CHUNK))
+            if not got:
+                raise ValueError("a draft ends inside a record")
+            self.put(got)
+            size -= len(got)
+        self.records += 1
 
 
-def write(planned: DataFrame, folder: str) -> DataFrame:
-    """Writes archives into `folder` and returns the stored manifest: (path, records, bytes)."""
-    common.tune(planned.sparkSession)
+def draft(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes every row as a response, an archive a task, and returns the stored places of the records:
+    (part, path, at, size, page_id, url, digest, bytes). Null html is the empty payload."""
+    common.tune(pages.sparkSession)
+    schema = "part long, path string, at long, size long, page_id long, url string, digest string, bytes long"
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        fs, root = _filesystem(folder)
-        fs.create_dir(root, recursive=True)
-        path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        records = size = 0
-        out = None
+        out, part = _Archive(folder), TaskContext.get().partitionId()
         for batch in batches:
-            names = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            ids, urls, payloads = (batch.column(i) for i in range(3))
+            rows = []
             for i in range(batch.num_rows):
-                out = out or fs.open_output_stream(path, compression=None)
-                page, url, kind, refers = (names[k][i].as_py() for k in ("page_id", "url", "record_type", "refers_to"))
-                payload = memoryview(names["payload"][i].as_buffer() or b"")
+                payload = memoryview(payloads[i].as_buffer() or b"")
                 h = hashlib.sha1()
                 for a in range(0, len(payload), CHUNK):
                     h.update(payload[a : a + CHUNK])
-                block = payload if kind == "response" else payload[:0]
-                head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_urn(page)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{_sha1(h)}", "Content-Type: text/html; charset=utf-8", f"X-Payload-Length: {len(payload)}"]
-                head += [f"X-Page-ID: {page}"] if page is not None else []
-                head += [f"WARC-Refers-To: {record_urn(refers)}", f"X-Refers-To-Page-ID: {refers}", f"WARC-Profile: {_PROFILE}"] if kind == "revisit" else []
-                head += [f"Content-Length: {len(block)}", "", ""]
-                z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                got = z.compress("\r\n".join(head).encode())
-                out.write(got)
-                size += len(got)
-                for a in range(0, len(block), CHUNK):
-                    got = z.compress(block[a : a + CHUNK])
-                    out.write(got)
-                    size += len(got)
-                got = z.compress(b"\r\n\r\n") + z.flush()
-                out.write(got)
-                size += len(got)
-                records += 1
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
-
-    return common.stored(planned.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+                page, url, digest, at = ids[i].as_py(), urls[i].as_py(), _sha1(h), out.bytes
+                out.record(page, url, digest, len(payload), payload)
+                rows.append((part, out.path, at, out.bytes - at, page, url, digest, len(payload)))
+            if rows:
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in schema.split(", ")])
+        if out.out:
+            out.out.close()
+
+    p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    return common.stored(p.mapInArrow(run, schema), "drafts")
+
+
+def plan(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """`records` (of `draft`) with refers_to: the response's page_id for a revisit, else null. A row that repeats the largest page_id is a
+    response too, and null ids never answer for others. Payloads with over one in `HOT` of all rows, so fewer than `HOT` payloads, are
+    broadcast; no key of the other join has more rows than that."""
+    tops = records.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    hot = F.col("n") * HOT > records.count()
+    tops = common.stored(tops, "tops")
+    few, rest = F.broadcast(tops.where(hot).select("digest", "top")), tops.where(~hot).select("digest", "top")
+    d = records.join(few, "digest").unionByName(records.join(few, "digest", "left_anti").join(rest, "digest", "left"))
+    return d.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top"))).drop("top")
+
+
+def settle(planned: DataFrame, folder: str) -> DataFrame:
+    """Writes the drafts again with their revisits: a response's member is copied as it is. Returns the stored manifest: (path, records, bytes)."""
+    parts = planned.agg(F.coalesce(F.max("part"), F.lit(0)).alias("n")).first()["n"] + 1
+    planned = planned.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("path", "at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        out, path, stream = _Archive(folder), None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    if stream:
+                        stream.close()
+                    path = r["path"]
+                    fs, name = _filesystem(path)
+                    stream = fs.open_input_stream(name, compression=None, buffer_size=CHUNK)
+                if r["refers_to"] is None:
+                    out.copy(stream, r["size"])
+                else:
+                    left = r["size"]
+                    while left:
+                        got = len(stream.read(min(left, CHUNK)))
+                        if not got:
+                            raise ValueError("a draft ends inside a record")
+                        left -= got
+                    out.record(r["page_id"], r["url"], r["digest"], r["bytes"], None, r["refers_to"])
+        if out.out:
+            stream.close()
+            out.out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([out.path]), pa.array([out.records], pa.int64()), pa.array([out.bytes], pa.int64())], ["path", "records", "bytes"])
+
+    return common.stored(planned.mapInArrow(run, "path string, records long, bytes long"), "manifest", keep=True)
+
+
+def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
+    """Writes archives of all rows into `folder` and returns the stored manifest: (path, records, bytes). The drafts go."""
+    spark = pages.sparkSession
+    drafts = common.scratch(spark, "drafts")
+    try:
+        with common.temporary():
+            return settle(plan(draft(pages, drafts), least), folder)
+    finally:
+        common.remove(spark, drafts)
 
 
 def _records(stream):
@@ -205,7 +288,7 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes and reads back: page_id, payload_bytes, payload_digest, record_type, refers_to of every row of `pages`."""
     folder = folder or common.scratch(pages.sparkSession, "warc")
-    chunks = read(write(plan(pages, least), folder), payload=False)
+    chunks = read(write(pages, folder, least), payload=False)
     whole = chunks.where("last")
     seen = lambda a, b: F.when(F.col("record_type") == "response", F.col(a)).otherwise(F.col(b))
     return whole.select("page_id", seen("bytes_so_far", "header_bytes").alias("payload_bytes"), seen("digest_so_far", "header_digest").alias("payload_digest"), "record_type", "refers_to")
