@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 FIT_ROWS, BUCKETS = 12_000, 1 << 17
+#: Rows that the fit expands at once.
+FIT_BLOCK = 1_000
 #: Extra features: bins of the measures.
 BINS, MEASURES = 8, 5
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,11 +76,8 @@ def weak_labels(v, rounds: int = 50):
     return post, hit, ok
 
 
-def word_list(buckets, owner, toxic, least: int = 4):
-    """Whether each bucket stands in toxic rows again and again and hardly in others."""
-    import numpy as np
-
-    dirty, clean = (np.bincount(buckets[toxic[owner] == t], minlength=BUCKETS) for t in (True, False))
+def word_list(dirty, clean, least: int = 4):
+    """Whether each bucket stands in toxic rows again and again and hardly in others, from its counts in both."""
     return (dirty >= least) & (dirty >= 9 * clean)
 
 
@@ -86,27 +85,37 @@ def fit(n, measures, buckets, lengths, quality, toxic):
     """Weights and bias of the scorer (log-odds of bad), and the labellers' accuracies.
 
     A row each of n, measures and labels (-1 where unknown); the rows' buckets stand one after the other, `lengths` of each.
+    Rows are taken a block at a time, so what is held beside them doesn't grow.
     """
     import numpy as np
 
     rows = len(n)
-    owner = np.repeat(np.arange(rows), lengths)
-    words = word_list(buckets, owner, toxic == 1)
-    listed = np.bincount(owner, words[buckets], rows) > 0
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    cuts = [(i, min(rows, i + FIT_BLOCK)) for i in range(0, rows, FIT_BLOCK)]
+    owners = lambda i, j: np.repeat(np.arange(j - i), lengths[i:j])
+    dirty, clean = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i, j in cuts:
+        for seen, which in ((dirty, toxic[i:j] == 1), (clean, toxic[i:j] != 1)):
+            seen += np.bincount(buckets[starts[i] : starts[j]][which[owners(i, j)]], minlength=BUCKETS)
+    words = word_list(dirty, clean)
+    listed = np.concatenate([np.bincount(owners(i, j), words[buckets[starts[i] : starts[j]]], j - i) > 0 for i, j in cuts] or [np.zeros(0, bool)])
     annotated = np.where((quality < 0) & (toxic < 0), -1, ((quality == 0) | (toxic == 1)).astype(np.int8))
     post, hit, ok = weak_labels(np.concatenate((votes(n, measures, listed), annotated[:, None]), 1))
     weights, bias = np.zeros(BUCKETS + BINS * MEASURES), -2.0
     if rows:
         bins = BUCKETS + np.arange(MEASURES) * BINS + np.minimum(BINS - 1, (measures * BINS).astype(np.int64))
-        cols = np.concatenate((buckets, bins.ravel()), dtype=np.intp)
-        owner = np.concatenate((owner, np.repeat(np.arange(rows), MEASURES)))
-        live = np.bincount(cols, minlength=len(weights))[cols] >= 3
-        cols, owner = cols[live], owner[live]
+        often = np.append(dirty + clean, np.bincount((bins - BUCKETS).ravel(), minlength=BINS * MEASURES)) >= 3
         m, s = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
         for t in range(1, 201):
-            z = np.bincount(owner, weights[cols], rows) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) / rows
-            grad = np.append(np.bincount(cols, g[owner], len(weights)), g.sum())
+            grad = np.zeros(len(weights) + 1)
+            for i, j in cuts:
+                got, owner = buckets[starts[i] : starts[j]], owners(i, j)
+                few = bins[i:j]
+                z = np.bincount(owner, weights[got], j - i) + weights[few].sum(1) + bias
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post[i:j]) / rows
+                grad[:-1] += np.bincount(got, g[owner], len(weights)) + np.bincount(few.ravel(), np.repeat(g, MEASURES), len(weights))
+                grad[-1] += g.sum()
+            grad[:-1] *= often  # a feature of fewer rows keeps its weight of zero
             m += 0.1 * (grad - m)
             s += 0.001 * (grad * grad - s)
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-6)
