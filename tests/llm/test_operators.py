@@ -359,6 +359,29 @@ def test_links_connect_dense_and_chained_fingerprints(spark):
         assert {root.get(f, f) for f in part} == {min(part)}
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK_SHINGLES, 2000])
+def test_no_partner_is_lost_in_a_large_bucket(spark, monkeypatch, block):
+    """All texts share a long passage, no two of different pairs are similar, and the texts of a pair are hardly nearer to each other than to all others."""
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    passage = " ".join(word() for _ in range(104))
+    own = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(150):
+        shared = own(4)
+        texts += [f"{passage} {shared} {own(10)}" for _ in range(2)]
+    sets = [set(simhash.hashes(t.encode(), similar.SHINGLE).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert alike == [(i + 1, i) for i in range(0, len(texts), 2)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, similar.near_copies(docs).select("doc_id", "component_id").collect()))
+    assert got == [(i, i - i % 2) for i in range(len(texts))]
+
+
+
 @pytest.mark.parametrize("crowded", [64, 3])
 def test_near_copies_of_the_pipeline(spark, monkeypatch, crowded):
     import corpus_pipeline as p

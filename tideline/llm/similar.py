@@ -5,8 +5,10 @@ segments too short to be an index. So the fingerprints' links within two bits, b
 and MinHash bands of the same shingle hashes find the rest: `BANDS` keys of `BAND_ROWS` minima, so a pair of similarity s shares
 a key with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. A pair of one group already says nothing new, and all pairs of a bucket may be very many: each member of a
 bucket is compared with the bucket's least (a star), then, where a bucket still holds several groups, with the next `NEIGHBOURS` in an order of the minima
-that differs from bucket to bucket (a pair at 0.8 shares six buckets on average). So candidates grow as the rows of the index, whatever the buckets. Those that
-share enough of all minima are verified on their whole shingle sets. Texts of equal words are collapsed before all this.
+that differs from bucket to bucket (a pair at 0.8 shares six buckets on average). Those that share enough of all minima are verified on their whole shingle sets.
+These two rounds join most groups at a cost that grows as the rows of the index; they decide nothing. Of every larger bucket that still holds several groups, all pairs of
+different groups are then compared on their whole shingle sets, in blocks of bounded size (`crossing`), so no pair that shares a key is left out. Texts of equal words are
+collapsed before all this.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from . import common, simhash
 SHINGLE, BANDS, BAND_ROWS = 5, 24, 6
 #: Members that one is compared with in a bucket after the star, and the rows from which a bucket is cut by the byte that its order begins with.
 NEIGHBOURS, CROWDED = 8, 64
+#: Shingles of a block of members; two blocks meet in one Python worker.
+BLOCK_SHINGLES = 1 << 19
 #: The least share of equal minima (a byte of each) of a pair whose texts are compared.
 LIKELY = 0.64
 
@@ -125,6 +129,78 @@ def verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
     return common.stored(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "similar")
 
 
+def links_between(xs: list, ys: list) -> list[tuple[int, int]]:
+    """Pairs (a, b), a > b, of similar members (fp, label, sorted distinct hashes) of `xs` and `ys`: enough to join all labels that similar members link."""
+    import numpy as np
+
+    values, sizes = np.concatenate([x[2] for x in xs]), np.array([len(x[2]) for x in xs])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(xs)), sizes)[order]
+    labels = np.array([x[1] for x in xs])
+    top: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while label in top:
+            label = top[label]
+        return label
+
+    found = []
+    for fp, label, held in ys:
+        start, end = np.searchsorted(values, held), np.searchsorted(values, held, "right")
+        n = end - start
+        both = np.bincount(owner[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(xs))
+        for i in np.flatnonzero((labels != label) & (5 * both >= 4 * (sizes + len(held) - both))):
+            a, b = root(int(labels[i])), root(label)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                found.append((max(fp, xs[i][0]), min(fp, xs[i][0])))
+    return found
+
+
+def crossing(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all groups which similar members of one bucket link; rows: (key, fp, size, label), texts: (fp, text).
+
+    A bucket is cut into blocks, in the order of its labels, and each two blocks meet in one task: none holds a whole large bucket. Two blocks of one same label don't meet.
+    """
+    w = W.partitionBy("key").orderBy("label", "fp").rowsBetween(W.unboundedPreceding, -1)
+    cut = common.stored(rows.select("key", "fp", "label", F.floor(F.coalesce(F.sum("size").over(w), F.lit(0)) / BLOCK_SHINGLES).alias("block")), "blocks")
+    each = cut.groupBy("key", "block").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+    met = each.join(each.toDF("key", "other", "l2", "m2"), "key").where("block <= other and least(l, l2) <> greatest(m, m2)").select("key", F.col("block").alias("i"), F.col("other").alias("j"))
+    ends = met.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sets = texts.join(cut.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "text")
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for cols, found in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cols["fp"], pa.int64()), pa.array([np.unique(simhash.hashes(t, SHINGLE)).tobytes() for t in found], pa.binary())], ["fp", "held"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, sides = None, ([], [])
+
+        def out():
+            pairs = links_between(sides[0], sides[1] or sides[0])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, i, j, block, fp, label, held in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != now:
+                    if now:
+                        yield out()
+                    now, sides = (key, i, j), ([], [])
+                sides[block != i].append((fp, label, np.frombuffer(held, np.uint64)))
+        if now:
+            yield out()
+
+    given = ends.join(cut, ["key", "block"]).join(sets.mapInArrow(hashed, "fp long, held binary").hint("merge"), "fp").select("key", "i", "j", "block", "fp", "label", "held")
+    dealt = given.repartition(common.partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return common.stored(dealt.mapInArrow(run, "a long, b long").distinct(), "crossing")
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
@@ -159,8 +235,13 @@ def groups(each: DataFrame, docs: DataFrame) -> DataFrame:
     star = members.join(tops, "key").where((F.col("fp") != F.col("b")) & alike(F.col("size"), F.col("other"))).select(*_pair("fp", "b"))
     seen = common.stored(star.union(first).distinct(), "pairs")
     roots = joined([], seen)
-    now = common.stored(members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root"), "labelled")
-    open_ = now.join(now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"), "key", "left_semi")
+
+    def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members, with labels, of those buckets that hold several groups."""
+        now = common.stored(rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root"), "labelled")
+        return now.join(now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key"), "key", "left_semi")
+
+    open_ = still_open(members, roots)
     # the bytes from another place for each bucket: similar texts mostly stand together, in one bucket or another of those that they share
     width = BANDS * BAND_ROWS
     at = F.pmod("key", F.lit(width)).cast("int") + 1
@@ -170,7 +251,10 @@ def groups(each: DataFrame, docs: DataFrame) -> DataFrame:
     after = F.array_compact(F.array(*[F.lead(F.struct(F.col("fp").alias("b"), F.col("label").alias("top"), F.col("size").alias("other")), k).over(w) for k in range(1, NEIGHBOURS + 1)]))
     met = rows.withColumn("after", after).select("fp", "size", "label", F.inline(F.filter("after", lambda x: x["top"] != F.col("label")))).where(alike(F.col("size"), F.col("other")))
     pairs = met.select(*_pair("fp", "b")).distinct().join(seen, ["a", "b"], "left_anti")
-    return joined([roots.toDF("a", "b")], common.stored(pairs, "pairs"))
+    roots = joined([roots.toDF("a", "b")], common.stored(pairs, "pairs"))
+    # all pairs of a smaller bucket have met by now
+    rest = crossing(still_open(members.where(F.col("n") > NEIGHBOURS + 1), roots), texts)
+    return common.stored(common.components(roots.toDF("a", "b").union(rest)), "roots") if rest.head(1) else roots
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
