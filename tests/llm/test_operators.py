@@ -164,6 +164,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.in_training_order(mixing.mix(docs)).where("taken = 0").count() == 0
 
 
+def test_training_sequence(docs, empty):
+    """Each pass over a document is an entry, and entries stand by place; the documents are read from them."""
+    entries = mixing.in_passes(mixing.mix(docs), 3)
+    places = [r["place"] for r in entries.collect()]
+    taken = [x for x in places if x is not None]
+    assert taken == sorted(taken) and None not in places[: len(taken)]
+    mixed = mixing.mix(docs, ["doc_id"])
+    want = sorted(map(repr, mixed.collect()))
+    assert len(taken) == sum((r["position"] is not None) + (r["position2"] is not None) for r in mixed.collect()) > mixed.where("taken > 0").count()
+    assert entries.agg(F.sum("words")).first()[0] == mixed.agg(F.sum("taken")).first()[0]
+    assert sorted(map(repr, mixing.sequenced(docs).collect())) == want and mixing.sequenced(empty).count() == 0
+
+
 def test_water_filling():
     got = mixing.targets([("b", 10), (None, 1000), ("a", 10), ("c", 980)])
     assert [g[0] for g in got] == ["a", "b", "c", None] and got[0][2] == 20 and abs(sum(g[2] for g in got) - 3000) < 1e-9

@@ -58,12 +58,12 @@ def _place(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / F.when(slope == 0, F.lit(1.0)).otherwise(2 * slope))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, keep: list[str] | None = None, row: str | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all by default) and size, source_size, target, taken, position (of the first word taken, null for none), position2 (second pass).
 
     Rows stand in the order of the SHA-256 of their id and text's SHA-256, then of their row key, so only rows equal in all columns are interchangeable.
     Null text: size 0; null and empty sources are two. A source whose words are all empty has target 0. Columns of `docs` that are called like the new ones are replaced;
-    all others stay. Texts that aren't kept are read once.
+    all others stay. Texts that aren't kept are read once. `row` names a further column, a long that tells all rows apart.
     """
     spark = docs.sparkSession
     new = ["size", "source_size", "target", "taken", "position", "position2"]
@@ -74,7 +74,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     source = F.col("source").cast("string")
     made = {"size": size(F.col("text")), src: F.coalesce(source, F.lit("")), none: source.isNull(), order: F.substring(ranked, 1, 32), tie: common.row_key(docs)[0]}
     d = docs.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in made.items()])
-    if "text" in keep:
+    if row:
+        d, keep = d.withColumn(row, F.monotonically_increasing_id()), [*keep, row]
+    if "text" in keep and not row:
         small = common.stored(d.select(src, none, order, "size"), "sizes")
     else:
         d = small = common.stored(d, "sizes")
@@ -100,6 +102,29 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return d.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (part(offset) + part(again)).cast("long").alias("taken"), when(offset).alias("position"), when(again).alias("position2"))
 
 
+def in_passes(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """The training sequence: an entry (pass 1 or 2, place, words) for each pass over a document, with its columns, range-sorted by place.
+
+    A document of which nothing is taken has one entry of pass 0, no place and no words, after all others.
+    """
+    one = F.least("size", "taken")  # a second pass begins only once the first took the whole document
+    entry = lambda n, place, words: F.struct(F.lit(n).alias("pass"), place.cast("double").alias("place"), words.cast("long").alias("words"))
+    passes = F.filter(F.array(entry(1, F.col("position"), one), entry(2, F.col("position2"), F.col("taken") - one)), lambda e: e["words"] > 0)
+    none = F.array(entry(0, F.lit(None), F.lit(0)))
+    each = mixed.select("*", F.inline(F.when(F.col("taken") > 0, passes).otherwise(none)))
+    last = F.col("place").asc_nulls_last()
+    return each.repartitionByRange(*([parts] if parts else []), last).sortWithinPartitions(last, "pass", "doc_id")
+
+
+def sequenced(docs: DataFrame) -> DataFrame:
+    """A row for each row of `docs`: doc_id and the columns of `mix`, read from the training sequence, which is written in its order."""
+    row = common.fresh("_row", [*docs.columns])
+    entries = common.stored(in_passes(mix(docs, ["doc_id"], row)), "sequence")
+    at = lambda n: F.max(F.when(F.col("pass") == n, F.col("place")))
+    each = entries.groupBy(row, "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), at(1).alias("position"), at(2).alias("position2"))
+    return each.drop(row)
+
+
 def in_training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
     """Range-sorted by position; documents of which nothing is taken are left out."""
     return mixed.where("taken > 0").repartitionByRange(*([parts] if parts else []), "position").sortWithinPartitions("position", "doc_id")

@@ -22,7 +22,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixing.sequenced(table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
